@@ -35,13 +35,13 @@ from pyspark.sql import functions as F
 from skein.session import checkpoint
 
 from . import _bytes as B
+from . import _records as R
 
 WINDOW, GRAM, HOT = 100, 32, 8
 BLOCK, FLUSH = 1 << 20, 2_000_000
 ROWS = "kind int, part int, did long, th long, data binary"
 #: Kinds of rows between tasks: phrases, strings (both for a part), removed runs, runs to be resolved (both for a document).
 PHRASES, STRINGS, REMOVED, RESOLVE = range(4)
-LEAST = -(1 << 63)
 
 
 def parse(buf: np.ndarray, at: np.ndarray, spans: B.Spans) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -83,38 +83,6 @@ def _chunks(at: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
                 yield i, j, a, min(at[j], a + BLOCK + WINDOW - 1)
 
 
-class Records:
-    """Columns of the same length that can be packed, sorted and cut."""
-
-    def __init__(self, *columns: np.ndarray) -> None:
-        self.c = columns
-
-    def __len__(self) -> int:
-        return len(self.c[0])
-
-    def __getitem__(self, which) -> Records:
-        return Records(*(x[which] for x in self.c))
-
-    @staticmethod
-    def join(parts: list[Records]) -> Records:
-        return Records(*(np.concatenate(x) for x in zip(*(p.c for p in parts), strict=True)))
-
-    def pack(self) -> bytes:
-        head = [len(self), *(ord(x.dtype.char) for x in self.c)]
-        return zstandard.ZstdCompressor(level=1).compress(np.array([len(head), *head], np.int64).tobytes() + b"".join(x.tobytes() for x in self.c))
-
-    @staticmethod
-    def unpack(data: bytes) -> Records:
-        raw = zstandard.ZstdDecompressor().decompress(data)
-        k = int(np.frombuffer(raw, np.int64, 1)[0])
-        n, *kinds = np.frombuffer(raw, np.int64, k, 8).tolist()
-        out, p = [], 8 * (k + 1)
-        for x in map(chr, kinds):
-            out.append(np.frombuffer(raw, x, n, p))
-            p += n * out[-1].itemsize
-        return Records(*out)
-
-
 def _batches(rows: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) if rows else [()] * 5
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["kind", "part", "did", "th", "data"])
@@ -130,38 +98,11 @@ def _by_doc(kind: int, did: np.ndarray, th: np.ndarray, start: np.ndarray, size:
     return [(kind, 0, int(did[a]), int(th[a]), np.stack([start[a:b], size[a:b]]).tobytes()) for a, b in zip(cuts, [*cuts[1:], len(did)], strict=True)]
 
 
-def _by_part(kind: int, parts: int, r: Records) -> list[tuple]:
-    """A row for each part; the first column says which (by its high bits)."""
-    if not len(r):
-        return []
-    part = ((r.c[0].astype(np.uint64) >> np.uint64(32)) % np.uint64(parts)).astype(np.uint32)
-    order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
-    part, r = part[order], r[order]
-    cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-    return [(kind, int(part[a]), 0, 0, r[a:b].pack()) for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True)]
-
-
-def _first_of_equals(keys: tuple[np.ndarray, ...], did: np.ndarray, th: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which records are the first of their key, and which are later ones at another place than the first."""
-    head = keys[0]
-    s = np.sort(head)
-    twice = np.unique(s[1:][s[1:] == s[:-1]])
-    first, later = np.ones(len(head), bool), np.zeros(len(head), bool)
-    some = np.flatnonzero(np.isin(head, twice))
-    if len(some):
-        some = some[np.lexsort((start[some], th[some], did[some], *(k[some] for k in reversed(keys))))]
-        new = np.concatenate([[True], np.logical_or.reduce([k[some][1:] != k[some][:-1] for k in keys])])
-        lead = some[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        first[some] = new
-        later[some] = ~new & ((did[some] != did[lead]) | (th[some] != th[lead]) | (start[some] != start[lead]))
-    return first, later
-
-
-def _strings(parts: int, r: Records) -> list[tuple]:
+def _strings(parts: int, r: R.Records) -> list[tuple]:
     """Rows for strings (hash, did, th, start): the first of equals go to their part, later ones are removed."""
-    first, later = _first_of_equals((r.c[0],), *r.c[1:])
+    first, later = R.first_of_equals((r.c[0],), *r.c[1:])
     gone = r[later]
-    return [*_by_part(STRINGS, parts, r[first]), *_by_doc(REMOVED, *gone.c[1:], np.ones(len(gone), np.uint32))]
+    return [*R.by_part(STRINGS, parts, r[first]), *_by_doc(REMOVED, *gone.c[1:], np.ones(len(gone), np.uint32))]
 
 
 def _explode(spans: B.Spans, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,16 +115,16 @@ def _explode(spans: B.Spans, start: np.ndarray, size: np.ndarray) -> tuple[np.nd
 def _parse_rows(parts: int):
     """Tasks over documents: (did, th, text) to rows."""
 
-    def settle(phrases: list[Records], strings: list[Records]) -> pa.RecordBatch:
+    def settle(phrases: list[R.Records], strings: list[R.Records]) -> pa.RecordBatch:
         rows = []
         if phrases:
-            r = Records.join(phrases)
-            first, later = _first_of_equals((r.c[1], r.c[0]), *r.c[2:5])
+            r = R.Records.join(phrases)
+            first, later = R.first_of_equals((r.c[1], r.c[0]), *r.c[2:5])
             gone = r[later]
             rows += _by_doc(REMOVED, gone.c[2], gone.c[3], gone.c[4], gone.c[5])
-            rows += _by_part(PHRASES, parts, r[first])
+            rows += R.by_part(PHRASES, parts, r[first])
         if strings:
-            rows += _strings(parts, Records.join(strings))
+            rows += _strings(parts, R.Records.join(strings))
         return _batches(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +139,7 @@ def _parse_rows(parts: int):
                 if not len(start):
                     continue
                 row = np.searchsorted(local, start, "right") - 1
-                r = Records(trigger, phrase, did[i:j][row], th[i:j][row], (start + a - at[i:j][row]).astype(np.uint32), size.astype(np.uint8))
+                r = R.Records(trigger, phrase, did[i:j][row], th[i:j][row], (start + a - at[i:j][row]).astype(np.uint32), size.astype(np.uint8))
                 # a trigger with very many phrases: all but a few go on as strings, and those few tell other tasks of it
                 order = np.lexsort((phrase, trigger))
                 t, q = trigger[order], phrase[order]
@@ -210,12 +151,12 @@ def _parse_rows(parts: int):
                     which, place = _explode(spans, start[many], size[many])
                     over = r[many]
                     h = spans.hash(place, place + WINDOW)
-                    strings.append(Records(h, over.c[2][which], over.c[3][which], (over.c[4][which] + (place - start[many][which])).astype(np.uint32)))
+                    strings.append(R.Records(h, over.c[2][which], over.c[3][which], (over.c[4][which] + (place - start[many][which])).astype(np.uint32)))
                     # the first ones of such a trigger are strings too, for all of them to meet
                     lead = np.isin(trigger, trigger[many]) & ~many
                     which, place = _explode(spans, start[lead], size[lead])
                     over = r[lead]
-                    strings.append(Records(spans.hash(place, place + WINDOW), over.c[2][which], over.c[3][which], (over.c[4][which] + (place - start[lead][which])).astype(np.uint32)))
+                    strings.append(R.Records(spans.hash(place, place + WINDOW), over.c[2][which], over.c[3][which], (over.c[4][which] + (place - start[lead][which])).astype(np.uint32)))
                     held += int(size[many].sum())
                     r = r[~many]
                 phrases.append(r)
@@ -233,14 +174,14 @@ def _merge_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     held = []
     for batch in batches:
         kind = batch.column("kind").to_numpy()
-        held += [Records.unpack(x) for x in batch.column("data").filter(pa.array(kind == PHRASES)).to_pylist()]
+        held += [R.Records.unpack(x) for x in batch.column("data").filter(pa.array(kind == PHRASES)).to_pylist()]
         if (kind != PHRASES).any():
             yield batch.filter(pa.array(kind != PHRASES))
     if not held:
         return
-    r = Records.join(held)
+    r = R.Records.join(held)
     del held
-    first, later = _first_of_equals((r.c[1], r.c[0]), *r.c[2:5])
+    first, later = R.first_of_equals((r.c[1], r.c[0]), *r.c[2:5])
     gone, r = r[later], r[first]
     yield _batches(_by_doc(REMOVED, gone.c[2], gone.c[3], gone.c[4], gone.c[5]))
     s = np.sort(r.c[0])
@@ -282,14 +223,14 @@ def _resolve_rows(parts: int):
                     b = int((start[k:end] + size[k:end]).max()) + WINDOW - 1
                     spans = B.Spans(text[a:b], powers)
                     _, place = _explode(spans, start[k:end] - a, size[k:end])
-                    strings.append(Records(spans.hash(place, place + WINDOW), np.full(len(place), did, np.int64), np.full(len(place), th, np.int64), (place + a).astype(np.uint32)))
+                    strings.append(R.Records(spans.hash(place, place + WINDOW), np.full(len(place), did, np.int64), np.full(len(place), th, np.int64), (place + a).astype(np.uint32)))
                     held += len(place)
                     k = end
                 if held > FLUSH:
-                    yield _batches(_strings(parts, Records.join(strings)))
+                    yield _batches(_strings(parts, R.Records.join(strings)))
                     strings, held = [], 0
         if strings:
-            yield _batches(_strings(parts, Records.join(strings)))
+            yield _batches(_strings(parts, R.Records.join(strings)))
 
     return run
 
@@ -298,12 +239,12 @@ def _merge_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     held = []
     for batch in batches:
         kind = batch.column("kind").to_numpy()
-        held += [Records.unpack(x) for x in batch.column("data").filter(pa.array(kind == STRINGS)).to_pylist()]
+        held += [R.Records.unpack(x) for x in batch.column("data").filter(pa.array(kind == STRINGS)).to_pylist()]
         if (kind != STRINGS).any():
             yield batch.filter(pa.array(kind != STRINGS))
     if held:
-        r = Records.join(held)
-        _, later = _first_of_equals((r.c[0],), *r.c[1:])
+        r = R.Records.join(held)
+        _, later = R.first_of_equals((r.c[0],), *r.c[1:])
         gone = r[later]
         yield _batches(_by_doc(REMOVED, *gone.c[1:], np.ones(len(gone), np.uint32)))
 
@@ -335,27 +276,41 @@ def _cut(keep_text: bool):
     return run
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    z = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        buf, at = B.column_bytes(batch.column("text"))
-        packed = pa.array([z.compress(buf[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "did", "th")), packed], names=["doc_id", "did", "th", "packed"])
+def _pack(bits, member: bool):
+    """Packed texts of the documents whose slot is set (or, without ``member``, of those whose slot is not)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            batch = batch.filter(pa.array(R.has(bits.value, batch.column("slot").to_numpy()) == member))
+            buf, at = B.column_bytes(batch.column("text"))
+            packed = pa.array([z.compress(buf[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "did", "th")), packed], names=["doc_id", "did", "th", "packed"])
+
+    return run
 
 
 def remove_repeats(docs: DataFrame, part_bytes: int = 12 << 20, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and with ``keep_text`` the remaining bytes) for each row."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    own = own.select("doc_id", F.coalesce("doc_id", F.lit(LEAST)).alias("did"), F.xxhash64("text", F.col("doc_id").isNull()).alias("th"), "text")
+    spark = docs.sparkSession
+    own = R.documents(docs)
     size = own.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     parts = max(1, -(-size // part_bytes))
+    packed_as = "doc_id long, did long, th long, packed binary"
+    runs = lambda df, kind: df.where(F.col("kind") == kind).groupBy("did", "th").agg(F.collect_list("data").alias("runs"))
+
+    packed = lambda bits, member: own.mapInArrow(_pack(bits, member), packed_as)
+
     parsed = own.select("did", "th", "text").mapInArrow(_parse_rows(parts), ROWS)
     first = checkpoint(parsed.repartition(parts, "part").mapInArrow(_merge_phrases, ROWS))
-    packed = own.mapInArrow(_pack, "doc_id long, did long, th long, packed binary")
-    runs = lambda df, kind: df.where(F.col("kind") == kind).groupBy("did", "th").agg(F.collect_list("data").alias("runs"))
-    open_runs = packed.join(runs(first, RESOLVE), ["did", "th"]).select("did", "th", "packed", "runs").mapInArrow(_resolve_rows(parts), ROWS)
+    resolve = first.where(F.col("kind") == RESOLVE)
+    affected = spark.sparkContext.broadcast(R.bitmap(resolve))
+    open_runs = packed(affected, True).join(runs(first, RESOLVE), ["did", "th"]).select("did", "th", "packed", "runs").mapInArrow(_resolve_rows(parts), ROWS)
     strings = open_runs.unionAll(first.where(F.col("kind") == STRINGS)).repartition(parts, "part").mapInArrow(_merge_strings, ROWS)
-    removed = first.where(F.col("kind") == REMOVED).unionAll(strings)
-    final = packed.join(runs(removed, REMOVED), ["did", "th"], "left").select("doc_id", "packed", "runs")
+    removed = checkpoint(first.where(F.col("kind") == REMOVED).unionAll(strings))
+    affected = spark.sparkContext.broadcast(R.bitmap(removed))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
-    return final.mapInArrow(_cut(keep_text), schema)
+    cut = packed(affected, True).join(runs(removed, REMOVED), ["did", "th"], "left").select("doc_id", "packed", "runs").mapInArrow(_cut(keep_text), schema)
+    # documents that lose nothing need no shuffle
+    whole = packed(affected, False).select("doc_id", "packed", F.array().cast("array<binary>").alias("runs")).mapInArrow(_cut(keep_text), schema)
+    return cut.unionAll(whole)
