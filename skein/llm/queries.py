@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, secrets, suffix_dedup, url_filters
+from . import decontaminate, line_dedup, secrets, suffix_dedup, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_report(_table(spark, sf_dir, "documents"))
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without lines that repeat an earlier line, or nearly."""
+    return line_dedup.report(_table(spark, sf_dir, "documents"))
+
+
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every page's url."""
     return url_filters.judge(_table(spark, sf_dir, "pages"))
@@ -35,6 +40,7 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
+    "op4_lines": op4_lines,
     "op5_urls": op5_urls,
     "op8_decontamination": op8_decontamination,
     "op9_repeats": op9_repeats,
