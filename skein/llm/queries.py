@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, language_id, line_dedup, mixing, near_dedup, secrets, suffix_dedup, url_filters
+from . import ann, decontaminate, language_id, line_dedup, mixing, near_dedup, secrets, suffix_dedup, token_counts, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"))
 
 
+def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document before and after redaction, counted by edits."""
+    return token_counts.report(_table(spark, sf_dir, "documents"))
+
+
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without lines that repeat an earlier line, or nearly."""
     return line_dedup.report(_table(spark, sf_dir, "documents"))
@@ -61,6 +66,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_neighbours": op2_neighbours,
+    "op3_tokens": op3_tokens,
     "op4_lines": op4_lines,
     "op5_urls": op5_urls,
     "op6_languages": op6_languages,
