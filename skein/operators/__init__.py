@@ -1 +1,5 @@
-"""Operators of skein."""
+"""Operators over flows."""
+
+from .flow import Flow, Single
+
+__all__ = ["Flow", "Single"]

@@ -1 +1,71 @@
-"""Sources of skein."""
+"""Sources: rows, ranges, text, delimited files, edge lists, Parquet."""
+
+from __future__ import annotations
+
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skein.operators.flow import Flow
+
+
+def input_from(spark: SparkSession, rows: Iterable, schema: str, replicas: int = 1) -> Flow:
+    """Rows of the driver; ``replicas`` copies of each, as if so many workers read the same source."""
+    own = [r if isinstance(r, (tuple, list, dict)) else (r,) for r in rows]
+    df = spark.createDataFrame(own, schema)
+    return Flow(df if replicas == 1 else df.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(replicas)))).drop("_r"))
+
+
+def input_range(spark: SparkSession, start: int, end: int, name: str = "x", replicas: int = 1) -> Flow:
+    """Whole numbers, made where they are used."""
+    df = spark.range(start, end).withColumnRenamed("id", name)
+    return Flow(df if replicas == 1 else df.select(F.explode(F.array_repeat(name, replicas)).alias(name)))
+
+
+def worker_index() -> Column:
+    """The number of the partition that a row is in."""
+    return F.spark_partition_id()
+
+
+def parquet(spark: SparkSession, path: str) -> Flow:
+    return Flow(spark.read.parquet(path))
+
+
+def text_lines(spark: SparkSession, path: str) -> Flow:
+    """line"""
+    return Flow(spark.read.text(path).withColumnRenamed("value", "line"))
+
+
+def delimited(spark: SparkSession, path: str, schema: str, separator: str = ",", header: bool = True) -> Flow:
+    return Flow(spark.read.schema(schema).option("sep", separator).option("header", header).csv(path))
+
+
+def encode_edges(spark: SparkSession, path: str, out: str, separator: str = " ", skip_header: bool = False, src_index: int = 0, dst_indexes: Iterable[int] = (1,), partition: tuple[int, int] | None = None) -> None:
+    """Write (src, dst) rows of a delimited edge list as Parquet; a line may have several targets, and repeated edges stay.
+
+    ``partition`` = (p, n) keeps sources with src mod n = p.
+    """
+    parts = F.split("value", separator.replace("|", r"\|"))
+    at = lambda i: F.get(parts, i).cast("long")
+    lines = spark.read.text(path)
+    edges = lines.select(at(src_index).alias("src"), F.explode(F.array(*(at(i) for i in dst_indexes))).alias("dst"))
+    edges = edges.where("src is not null and dst is not null") if skip_header else edges.where("src is not null or dst is not null")
+    if partition:
+        edges = edges.where(F.pmod("src", F.lit(partition[1])) == partition[0])
+    edges.write.parquet(out)
+
+
+def load_edges(spark: SparkSession, path: str) -> DataFrame:
+    """(src, dst) as ``encode_edges`` wrote them."""
+    return spark.read.parquet(path)
+
+
+def partition_edges(edges: DataFrame, parts: int) -> DataFrame:
+    """All edges of a source in one of ``parts`` partitions."""
+    return edges.repartition(parts, "src")
+
+
+def properties(spark: SparkSession, path: str, ids: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """Properties of the vertices asked for; only these columns are read."""
+    return spark.read.parquet(path).select("id", *columns).join(ids.select("id").distinct(), "id", "left_semi")
