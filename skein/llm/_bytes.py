@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -21,6 +24,30 @@ SOLID_BYTE = np.ones(256, bool)
 SOLID_BYTE[[9, 10, 11, 12, 13, 32]] = False
 
 
+def small_batches(df: DataFrame) -> None:
+    """Have Spark send rows to Python in batches of at most 1,000 rows and 8 MB, as they may hold whole long texts."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        now = conf.get(key, None)
+        if now is None or not 0 < int(str(now).rstrip("bB")) <= most:
+            conf.set(key, str(most))
+
+
+def tidy(run: Callable) -> Callable:
+    """A task function that gives memory back when it ends: Spark keeps Python workers for later tasks."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # another C library
+            pass
+
+    return wrapped
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = x ^ (x >> np.uint64(30))

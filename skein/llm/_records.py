@@ -7,6 +7,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._bytes import small_batches
+
 #: Bits of the table of documents; its size is fixed, so it can be sent to every task.
 SLOTS = 1 << 23
 LEAST = -(1 << 63)
@@ -44,13 +46,18 @@ class Records:
         return Records(*out)
 
 
-def by_part(kind: int, parts: int, r: Records) -> list[tuple]:
-    """(kind, part, 0, 0, packed records) for each part; the first column says which (by its high bits)."""
+def by_part(kind: int, parts: int, r: Records, narrow: bool = False) -> list[tuple]:
+    """(kind, part, 0, 0, packed records) for each part; the first column says which (by its high bits).
+
+    ``narrow`` packs only the low 32 bits of that column; with those that chose the part they still tell keys apart.
+    """
     if not len(r):
         return []
     part = ((r.c[0].astype(np.uint64) >> np.uint64(32)) % np.uint64(parts)).astype(np.uint32)
     order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
     part, r = part[order], r[order]
+    if narrow:
+        r = Records(r.c[0].astype(np.uint32), *r.c[1:])
     cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
     return [(kind, int(part[a]), 0, 0, r[a:b].pack()) for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True)]
 
@@ -73,6 +80,7 @@ def first_of_equals(keys: tuple[np.ndarray, ...], did: np.ndarray, th: np.ndarra
 
 def documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id (long), did (null first), th (hash of the text), slot, text (null as empty)."""
+    small_batches(docs)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     own = own.select("doc_id", F.coalesce("doc_id", F.lit(LEAST)).alias("did"), F.xxhash64("text", F.col("doc_id").isNull()).alias("th"), "text")
     return own.withColumn("slot", slot(F.col("did"), F.col("th")))

@@ -193,6 +193,7 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "te
     ``longest`` has, for each item suffix of which this shard holds a window, the longest verbatim match in the shard, at
     the row that has it. A name that ``keep`` has already is prefixed ``found_``.
     """
+    B.small_batches(docs)
     spark = docs.sparkSession
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.coalesce("text", F.lit("")).alias("t"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("t") + 16), F.lit(0))).first()[0]
@@ -204,7 +205,7 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "te
     def search_all(df: DataFrame, cols: list[str], out: T.StructType, k: int) -> DataFrame:
         own = block(k).collect()
         items = spark.sparkContext.broadcast(Items([r["i"] for r in own], [r["t"] for r in own], window))
-        return df.select(*dict.fromkeys([*cols, text])).mapInArrow(_finder(items, cols, text, shard_bytes), out)
+        return df.select(*dict.fromkeys([*cols, text])).mapInArrow(B.tidy(_finder(items, cols, text, shard_bytes)), out)
 
     if parts == 1:
         return search_all(docs, keep, schema, 0)

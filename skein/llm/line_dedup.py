@@ -175,9 +175,11 @@ CLAIM_NAMES = [x.split()[0] for x in CLAIM.split(", ")]
 
 
 def _claim_batch(parts: list[tuple] = (), lines: list[tuple] = (), claims: R.Records | None = None) -> pa.RecordBatch:
-    rows = [(k, p, 0, 0, 0, 0, 0, 0, None, d) for k, p, _, _, d in parts] + [(LINES, 0, a, b, c, 0, 0, 0, t, None) for a, b, c, t in lines]
     if claims is not None:
-        rows += [(CLAIMS, 0, *x, None, None) for x in zip(*(c.tolist() for c in claims.c), strict=True)]
+        n = len(claims)
+        cols = [pa.array(np.full(n, k, np.int32)) for k in (CLAIMS, 0)] + [pa.array(c.astype(np.int64)) for c in claims.c] + [pa.nulls(n, pa.string()), pa.nulls(n, pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, names=CLAIM_NAMES)
+    rows = [(k, p, 0, 0, 0, 0, 0, 0, None, d) for k, p, _, _, d in parts] + [(LINES, 0, a, b, c, 0, 0, 0, t, None) for a, b, c, t in lines]
     cols = list(zip(*rows, strict=True)) if rows else [()] * 10
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, CLAIM_TYPES, strict=True)], names=CLAIM_NAMES)
 
@@ -217,7 +219,8 @@ def _variant_rows(parts: int):
 
         def settle():
             go, claims = _claims(r := R.Records.join(held))
-            return _claim_batch(R.by_part(VARIANTS, parts, r[go]), claims=claims)
+            yield _claim_batch(R.by_part(VARIANTS, parts, r[go]))
+            yield _claim_batch(claims=claims)
 
         for batch in batches:
             z = zstandard.ZstdDecompressor()
@@ -233,11 +236,11 @@ def _variant_rows(parts: int):
                 held.append(R.Records(v, place.astype(np.int32), np.full(len(v), did, np.int64), np.full(len(v), th, np.int64), line.astype(np.uint32)))
                 n += len(v)
                 if n > FLUSH:
-                    yield settle()
+                    yield from settle()
                     held, n = [], 0
             yield _claim_batch(lines=texts)
         if held:
-            yield settle()
+            yield from settle()
 
     return run
 
@@ -305,20 +308,20 @@ def drop_lines(docs: DataFrame, text: str = "text", part_bytes: int = 12 << 20)
     own = R.documents(docs, text)
     size = own.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     parts = max(1, -(-size // part_bytes))
-    first = checkpoint(own.select("did", "th", "text").mapInArrow(_line_rows(parts), ROWS).repartition(parts, "part").mapInArrow(_merge_lines, ROWS))
+    first = checkpoint(own.select("did", "th", "text").mapInArrow(B.tidy(_line_rows(parts)), ROWS).repartition(parts, "part").mapInArrow(B.tidy(_merge_lines), ROWS))
     lists = lambda df, kind: df.where(F.col("kind") == kind).groupBy("did", "th").agg(F.collect_list("data").alias("lines"))
 
     slots = own.select(F.col("did").alias("__did"), F.col("th").alias("__th"), F.col("text").alias("__text"), F.col("slot").alias("__slot"))
     candidates = first.where(F.col("kind") == CANDIDATES)
     bits = spark.sparkContext.broadcast(R.bitmap(candidates))
-    packed = slots.mapInArrow(_pack(bits, True, ["__did", "__th"]), "__did long, __th long, __packed binary").toDF("did", "th", "packed")
-    variants = packed.join(lists(first, CANDIDATES), ["did", "th"]).mapInArrow(_variant_rows(parts), CLAIM)
-    found = checkpoint(variants.repartition(parts, F.when(F.col("kind") == VARIANTS, F.col("part")).otherwise(F.xxhash64("did", "th", "line"))).mapInArrow(_merge_variants, CLAIM))
+    packed = slots.mapInArrow(B.tidy(_pack(bits, True, ["__did", "__th"])), "__did long, __th long, __packed binary").toDF("did", "th", "packed")
+    variants = packed.join(lists(first, CANDIDATES), ["did", "th"]).mapInArrow(B.tidy(_variant_rows(parts)), CLAIM)
+    found = checkpoint(variants.repartition(parts, F.when(F.col("kind") == VARIANTS, F.col("part")).otherwise(F.xxhash64("did", "th", "line"))).mapInArrow(B.tidy(_merge_variants), CLAIM))
     where = lambda d, t, k: F.struct(F.col(d), F.col(t), F.col(k))
     lines = found.where(F.col("kind") == LINES).groupBy("did", "th", "line").agg(F.first("text").alias("text"))
     claims = found.where(F.col("kind") == CLAIMS).select("did", "th", "line", "edid", "eth", "eline").distinct()
     both = claims.join(lines.withColumnRenamed("text", "a"), ["did", "th", "line"]).join(lines.toDF("edid", "eth", "eline", "b"), ["edid", "eth", "eline"])
-    near = both.select("did", "th", "line", "a", "b").mapInArrow(_verify, ROWS)
+    near = both.select("did", "th", "line", "a", "b").mapInArrow(B.tidy(_verify), ROWS)
 
     dropped = checkpoint(lists(first.where(F.col("kind") == DROPPED).unionAll(near), DROPPED))
     bits = spark.sparkContext.broadcast(R.bitmap(dropped))
@@ -327,11 +330,11 @@ def drop_lines(docs: DataFrame, text: str = "text", part_bytes: int = 12 << 20)
     ids = docs.select(*(F.col(c).alias(f"__k_{c}") for c in docs.columns if c != text), F.coalesce(F.col("doc_id").cast("long"), F.lit(R.LEAST)).alias("__did"), F.xxhash64(t, F.col("doc_id").isNull()).alias("__th"), t.alias("__text"), F.col(text).isNull().alias("__null"))
     ids = ids.withColumn("__slot", R.slot(F.col("__did"), F.col("__th")))
     names = [c for c in docs.columns if c != text] + ["__null"]
-    pack = lambda member: ids.mapInArrow(_pack(bits, member, [*keep, "__null", "__did", "__th"]), T.StructType([*(docs.schema[c] for c in names[:-1]), T.StructField("__null", T.BooleanType()), T.StructField("__did", T.LongType()), T.StructField("__th", T.LongType()), T.StructField("__packed", T.BinaryType())]))
+    pack = lambda member: ids.mapInArrow(B.tidy(_pack(bits, member, [*keep, "__null", "__did", "__th"])), T.StructType([*(docs.schema[c] for c in names[:-1]), T.StructField("__null", T.BooleanType()), T.StructField("__did", T.LongType()), T.StructField("__th", T.LongType()), T.StructField("__packed", T.BinaryType())]))
     hit = pack(True).join(dropped.toDF("__did", "__th", "__dropped"), ["__did", "__th"], "left")
     rest = pack(False).withColumn("__dropped", F.lit(None).cast("array<binary>"))
     out = T.StructType([*(docs.schema[c] for c in names[:-1]), T.StructField("__null", T.BooleanType()), T.StructField("__new", T.StringType()), T.StructField("__lines", T.LongType()), T.StructField("__gone", T.LongType())])
-    cut = lambda df: df.select(*names, "__packed", "__dropped").mapInArrow(_cut(names), out)
+    cut = lambda df: df.select(*names, "__packed", "__dropped").mapInArrow(B.tidy(_cut(names)), out)
     new = cut(hit).unionAll(cut(rest))
     return new.select(*(F.when(F.col("__null"), None).otherwise(F.col("__new")).alias(text) if c == text else F.col(c) for c in docs.columns), "__new", "__lines", "__gone")
 

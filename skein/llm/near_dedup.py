@@ -93,7 +93,7 @@ def word_idf(texts: DataFrame) -> Idf:
     """From all of ``texts`` (text); only the words beyond the floor come to the driver."""
     docs = texts.count()
     least = max(2, int(np.ceil(DF_FLOOR * docs)))
-    counts = texts.select("text").mapInArrow(_word_counts, "word long, n long").groupBy(F.shiftrightunsigned("word", int(Idf.BITS)).alias("word")).agg(F.sum("n").alias("n")).where(F.col("n") >= least).toPandas()
+    counts = texts.select("text").mapInArrow(B.tidy(_word_counts), "word long, n long").groupBy(F.shiftrightunsigned("word", int(Idf.BITS)).alias("word")).agg(F.sum("n").alias("n")).where(F.col("n") >= least).toPandas()
     return Idf(counts["word"].to_numpy(np.uint64), counts["n"].to_numpy(np.int64), docs)
 
 
@@ -225,7 +225,7 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     spark = docs.sparkSession
     own = R.documents(docs, text).withColumns({"a": F.xxhash64("text"), "b": F.xxhash64(F.lit(1), "text")})
     idf = spark.sparkContext.broadcast(word_idf(own))
-    signed = checkpoint(own.select("doc_id", "did", "th", "a", "b", "text").mapInArrow(_sign(idf), "doc_id long, did long, th long, a long, b long, some boolean, bands array<long>"))
+    signed = checkpoint(own.select("doc_id", "did", "th", "a", "b", "text").mapInArrow(B.tidy(_sign(idf)), "doc_id long, did long, th long, a long, b long, some boolean, bands array<long>"))
     node = F.struct("a", "b").alias("node")
     nodes = signed.where("some").groupBy(node).agg(F.min(F.struct("did", "th")).alias("first"), F.any_value("bands").alias("bands"))
     members = nodes.select("node", F.posexplode("bands").alias("band", "key"))
@@ -239,12 +239,12 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
 
     wanted = checkpoint(shared.select("node").distinct().join(nodes.select("node", "first"), "node").select("node", "first.did", "first.th"))
     bits = spark.sparkContext.broadcast(R.bitmap(wanted))
-    vectors = own.select("did", "th", "slot", "text").mapInArrow(_vectors(idf, bits), "did long, th long, vector binary")
+    vectors = own.select("did", "th", "slot", "text").mapInArrow(B.tidy(_vectors(idf, bits)), "did long, th long, vector binary")
     vectors = checkpoint(wanted.join(vectors, ["did", "th"]).dropDuplicates(["node"]).select("node", "vector"))
 
     def links(pairs: DataFrame) -> DataFrame:
         both = pairs.distinct().join(vectors.toDF("u", "x"), "u").join(vectors.toDF("v", "y"), "v").select("u", "v", "x", "y")
-        return checkpoint(both.mapInArrow(_verify, f"u {NODE}, v {NODE}, similarity double").where(F.col("similarity") >= LEAST).select("u", "v"))
+        return checkpoint(both.mapInArrow(B.tidy(_verify), f"u {NODE}, v {NODE}, similarity double").where(F.col("similarity") >= LEAST).select("u", "v"))
 
     found = links(few.unionAll(star))
     roots = checkpoint(connected_components(found, "u", "v"))
