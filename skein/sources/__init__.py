@@ -47,7 +47,7 @@ def encode_edges(spark: SparkSession, path: str, out: str, separator: str = " ",
     ``partition`` = (p, n) keeps sources with src mod n = p.
     """
     parts = F.split("value", separator.replace("|", r"\|"))
-    at = lambda i: F.get(parts, i).cast("long")
+    at = lambda i: F.get(parts, F.lit(i)).try_cast("long")
     lines = spark.read.text(path)
     edges = lines.select(at(src_index).alias("src"), F.explode(F.array(*(at(i) for i in dst_indexes))).alias("dst"))
     edges = edges.where("src is not null and dst is not null") if skip_header else edges.where("src is not null or dst is not null")
