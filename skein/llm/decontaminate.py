@@ -59,7 +59,7 @@ def suffix_array(text: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray
     """``starts`` in the order of the first ``depth`` words of their suffixes (prefix doubling; ties by place)."""
     n = len(text)
     rank, k = text.astype(np.int64), 1
-    while k < depth:
+    while k < min(depth, n):
         after = np.zeros(n, np.int64)
         after[: n - k] = rank[k:] + 1
         key = rank * (int(after.max(initial=0)) + 1) + after
