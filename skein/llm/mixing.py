@@ -128,7 +128,7 @@ def report(docs: DataFrame, **options) -> DataFrame:
     rows = measured(docs)
     cells = probabilities(rows, **options)
     out = _matched(rows, cells, {d: d for d in DIMENSIONS})
-    return out.select("doc_id", *DIMENSIONS, "n_tokens", F.col("__probability").alias("probability"), (F.col("draw") < F.col("__probability")).alias("kept"))
+    return out.select("doc_id", *DIMENSIONS, "n_tokens", F.col("__probability").alias("probability"), ((F.col("draw") < F.col("__probability")) & (F.col("n_tokens") > 0)).alias("kept"))
 
 
 def sample(docs: DataFrame, **options) -> DataFrame:
@@ -136,7 +136,7 @@ def sample(docs: DataFrame, **options) -> DataFrame:
     cells = probabilities(measured(docs), **options)
     t = F.col("text")
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(10), F.col("doc_id").cast("string"), t), 11) * 2.0**-53
-    rows = docs.withColumns({"__source": F.col("source").cast("string"), "__lang": F.col("lang").cast("string"), "__topic": topic_of(t), "__draw": draw})
+    rows = docs.withColumns({"__source": F.col("source").cast("string"), "__lang": F.col("lang").cast("string"), "__topic": topic_of(t), "__draw": F.when(t.rlike(r"\S"), draw)})
     name = "probability" if "probability" not in docs.columns else "mix_probability"
     out = _matched(rows, cells, {d: f"__{d}" for d in DIMENSIONS})
     return out.where(F.col("__draw") < F.col("__probability")).select(*docs.columns, F.col("__probability").alias(name))
