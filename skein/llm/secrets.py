@@ -6,6 +6,7 @@ DataFrame functions only. Spans count code points, the end is exclusive.
 from __future__ import annotations
 
 from functools import reduce
+from math import log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,9 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: What counts as an ordinary identifier in training: a run of letters, digits and joints with a vowel and at most two digits.
 IDENTIFIER = r"[A-Za-z0-9_-]{4,}"
 SYMBOLS = 128
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+#: Pseudo-counts: of each second character, and of a first character's pairs.
+RARE, LEAN = 1.0, 20.0
 
 
 def _spans(text: Column, kind: str, rank: int, pattern: str, group: int, least: int) -> Column:
@@ -73,7 +77,7 @@ def labelled(docs: DataFrame, text: str = "text", sample_docs: int = 2000, gener
 
 
 def train(samples: DataFrame) -> list[float]:
-    """Log-likelihood ratio of random against ordinary for each pair of characters, add-one smoothed.
+    """Log-likelihood ratio of random against ordinary for each pair of characters, smoothed.
 
     The table has SYMBOLS**2 entries whatever the size of the input; only it comes to the driver.
     """
@@ -81,15 +85,17 @@ def train(samples: DataFrame) -> list[float]:
     table = {"random": {}, "plain": {}}
     for r in counts.collect():
         table[r["label"]][r["pair"]] = r["n"]
-    used = sorted({c for t in table.values() for p in t for c in divmod(p, SYMBOLS)} | set(map(ord, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")))
-    from math import log
-
+    used = sorted({c for t in table.values() for p in t for c in divmod(p, SYMBOLS)} | set(map(ord, ALPHABET)))
+    # a pair's probability leans on that of its second character alone, and so much the more the rarer the first one is
+    logs = {}
+    for kind, t in table.items():
+        first = {a: sum(t.get(a * SYMBOLS + b, 0) for b in used) for a in used}
+        second = {b: sum(t.get(a * SYMBOLS + b, 0) for a in used) + RARE for b in used}
+        every = sum(second.values())
+        logs[kind] = {a * SYMBOLS + b: log((t.get(a * SYMBOLS + b, 0) + LEAN * second[b] / every) / (first[a] + LEAN)) for a in used for b in used}
     out = [0.0] * (SYMBOLS * SYMBOLS)
-    totals = {k: {a: sum(t.get(a * SYMBOLS + b, 0) for b in used) + len(used) for a in used} for k, t in table.items()}
-    for a in used:
-        for b in used:
-            p = a * SYMBOLS + b
-            out[p] = log((table["random"].get(p, 0) + 1) / totals["random"][a]) - log((table["plain"].get(p, 0) + 1) / totals["plain"][a])
+    for p, x in logs["random"].items():
+        out[p] = x - logs["plain"][p]
     return out
 
 
