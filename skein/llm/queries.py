@@ -76,4 +76,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+#: A-Z lower-cased, words as a list.
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLES: dict[str, str] = {
+    "op4_lines": r"""
+with t as (select doc_id, coalesce(text, '') as text, case when coalesce(text, '') = '' then [] else string_split(text, chr(10)) end as ls from documents),
+l as (select *, row_number() over (order by doc_id, k) as r from (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as k from t) x),
+w as (select *, list_filter(string_split_regex(line, '[ \t\n\r\x0b\f]+'), lambda x: x <> '') as ws from l),
+s as (select *, len(ws) as n, array_to_string(ws, ' ') as same from w),
+f as (select same, any_value(ws) as ws, any_value(n) as n, min(r) as r from s group by same),
+v as (select r, i, array_to_string(list_concat(ws[:i - 1], ws[i + 1:]), ' ') as d from (select r, ws, unnest(range(1, n + 1)) as i from f where n >= 8) y),
+near as (select r from (select r, min(r) over (partition by i, d) as least from v) z where r > least
+  union select greatest(f.r, v.r) from f join v on f.same = v.d and f.n >= 8),
+gone as (select s.r from s join f on s.same = f.same where s.n >= 5 and (s.r > f.r or s.r in (select r from near)))
+select t.doc_id, len(t.ls) as n_lines, count(gone.r) as n_dropped, coalesce(string_agg(l.line, chr(10) order by l.k) filter (where gone.r is null), '') as text
+from t left join l on t.doc_id = l.doc_id left join gone on l.r = gone.r group by t.doc_id, t.ls""",
+    "op8_decontamination": f"""
+with i as (select item_id, ws, least(10, len(ws)) as n from (select item_id, {_WORDS} as ws from benchmark) x where len(ws) > 0),
+win as (select distinct item_id, n, array_to_string(ws[p:p + n - 1], ' ') as win from (select *, unnest(range(1, len(ws) - n + 2)) as p from i) y),
+d as (select doc_id, {_WORDS} as ws from documents),
+dw as (select doc_id, n, p, array_to_string(ws[p:p + n - 1], ' ') as win from (select doc_id, ws, n, unnest(range(1, len(ws)::bigint - n + 2)) as p from d, (select distinct n from win) s) z),
+hit as (select doc_id, dw.p, dw.n, item_id from dw join win on dw.n = win.n and dw.win = win.win),
+words as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(p, p + n)) as q from hit) h group by 1),
+items as (select doc_id, count(*) as n_items, string_agg(k, ',' order by k) as ids from (select distinct doc_id, item_id::varchar as k from hit) g group by 1)
+select d.doc_id, len(d.ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join words using (doc_id) left join items using (doc_id)""",
+}
