@@ -9,13 +9,14 @@ overlap by ``WINDOW - 1`` bytes, and every string lies in exactly one phrase. Eq
 of two phrases can be equal only if the phrases have equal triggers.
 
 *Corpus order.* Occurrences of phrases are sorted by trigger, phrase and place. All but the first of a phrase are removed
-whole. First occurrences of different phrases with one trigger (the ends of repeated passages) are resolved string by
-string: the suffixes of the phrases, as far as ``WINDOW`` bytes, are sorted by hash and place, and all but the first of
-equals are removed. Sorting stands in for lexicographic suffix arrays of dictionary and parse: only which suffixes are
-equal and which of them is first matters, and hashes can be dealt out without all suffixes of a trigger in one task.
+whole. The phrases of triggers with several make up the dictionary (the ends of repeated passages, mostly): their suffixes
+are ranked by their first ``WINDOW`` bytes with prefix doubling, and of suffixes with one rank all but the first in corpus
+order, by the first occurrence of their phrase, are removed. Suffixes of different triggers never meet, so the dictionary is
+dealt out by trigger.
 
 Each task first settles what repeats within its own rows, so that a passage with very many copies reaches the shuffle once
-a task; a trigger with more than ``HOT`` phrases in a task goes on string by string at once.
+a task. A trigger with more than ``HOT`` phrases in a block of text, or more than ``MANY`` in all, isn't left to one task: its
+strings are dealt out by hash, string by string.
 
 A document is known by doc_id and a hash of its text; rows that repeat whole are one document and get one result. Of rows
 with one doc_id and different texts, that with the smaller hash is earlier. A null doc_id comes first; null text is empty.
@@ -37,11 +38,11 @@ from skein.session import checkpoint
 from . import _bytes as B
 from . import _records as R
 
-WINDOW, GRAM, HOT = 100, 32, 8
-BLOCK, FLUSH = 1 << 20, 2_000_000
+WINDOW, GRAM, HOT, MANY = 100, 32, 8, 4096
+BLOCK, FLUSH = 1 << 20, 1_000_000
 ROWS = "kind int, part int, did long, th long, data binary"
-#: Kinds of rows between tasks: phrases, strings (both for a part), removed runs, runs to be resolved (both for a document).
-PHRASES, STRINGS, REMOVED, RESOLVE = range(4)
+#: Kinds of rows between tasks: phrases, strings, the dictionary (for a part), removed runs, runs to be resolved (for a document).
+PHRASES, STRINGS, DICTIONARY, REMOVED, RESOLVE = range(5)
 
 
 def parse(buf: np.ndarray, at: np.ndarray, spans: B.Spans) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -88,21 +89,28 @@ def _batches(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["kind", "part", "did", "th", "data"])
 
 
-def _by_doc(kind: int, did: np.ndarray, th: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[tuple]:
-    """A row for each document."""
+def _by_doc(kind: int, did: np.ndarray, th: np.ndarray, *columns: np.ndarray) -> list[tuple]:
+    """A row for each document, with 32-bit columns (the first of them start)."""
     if not len(did):
         return []
-    order = np.lexsort((start, th, did))
-    did, th, start, size = did[order], th[order], start[order].astype(np.uint32), size[order].astype(np.uint32)
+    order = np.lexsort((columns[0], th, did))
+    did, th, columns = did[order], th[order], np.stack([c[order].astype(np.uint32) for c in columns])
     cuts = np.flatnonzero(np.concatenate([[True], (did[1:] != did[:-1]) | (th[1:] != th[:-1])]))
-    return [(kind, 0, int(did[a]), int(th[a]), np.stack([start[a:b], size[a:b]]).tobytes()) for a, b in zip(cuts, [*cuts[1:], len(did)], strict=True)]
+    return [(kind, 0, int(did[a]), int(th[a]), columns[:, a:b].tobytes()) for a, b in zip(cuts, [*cuts[1:], len(did)], strict=True)]
+
+
+def _merged_runs(did: np.ndarray, th: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of consecutive starts: did, th, start, size."""
+    order = np.lexsort((start, th, did))
+    did, th, start = did[order], th[order], start[order].astype(np.int64)
+    new = np.flatnonzero(np.concatenate([[True], (did[1:] != did[:-1]) | (th[1:] != th[:-1]) | (start[1:] != start[:-1] + 1)])) if len(did) else np.zeros(0, np.int64)
+    return did[new], th[new], start[new], np.diff(np.concatenate([new, [len(did)]]))
 
 
 def _strings(parts: int, r: R.Records) -> list[tuple]:
     """Rows for strings (hash, did, th, start): the first of equals go to their part, later ones are removed."""
     first, later = R.first_of_equals((r.c[0],), *r.c[1:])
-    gone = r[later]
-    return [*R.by_part(STRINGS, parts, r[first]), *_by_doc(REMOVED, *gone.c[1:], np.ones(len(gone), np.uint32))]
+    return [*R.by_part(STRINGS, parts, r[first]), *_by_doc(REMOVED, *_merged_runs(*r[later].c[1:]))]
 
 
 def _explode(spans: B.Spans, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +130,7 @@ def _parse_rows(parts: int):
             first, later = R.first_of_equals((r.c[1], r.c[0]), *r.c[2:5])
             gone = r[later]
             rows += _by_doc(REMOVED, gone.c[2], gone.c[3], gone.c[4], gone.c[5])
-            rows += R.by_part(PHRASES, parts, r[first])
+            rows += R.by_part(PHRASES, parts, r[first], narrow=True)
         if strings:
             rows += _strings(parts, R.Records.join(strings))
         return _batches(rows)
@@ -184,69 +192,110 @@ def _merge_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     first, later = R.first_of_equals((r.c[1], r.c[0]), *r.c[2:5])
     gone, r = r[later], r[first]
     yield _batches(_by_doc(REMOVED, gone.c[2], gone.c[3], gone.c[4], gone.c[5]))
-    s = np.sort(r.c[0])
-    more = r[np.isin(r.c[0], np.unique(s[1:][s[1:] == s[:-1]]))]
-    yield _batches(_by_doc(RESOLVE, more.c[2], more.c[3], more.c[4], more.c[5]))
-
+    triggers, n = np.unique(r.c[0], return_counts=True)
+    own = n[np.searchsorted(triggers, r.c[0])]
+    more = r[own > 1]
+    yield _batches(_by_doc(RESOLVE, *more.c[2:6], more.c[0], own[own > 1] > MANY))
 
-def _inflate(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of packed texts."""
-    z = zstandard.ZstdDecompressor()
-    texts = [z.decompress(x) for x in batch.column("packed").to_pylist()]
-    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)]).astype(np.int64)
 
-
-def _runs(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    if not parts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    both = np.concatenate([np.frombuffer(x, np.uint32).reshape(2, -1) for x in parts], axis=1).astype(np.int64)
-    return both[0], both[1]
+def _runs(parts: list[bytes], columns: int = 2) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x, np.uint32).reshape(columns, -1) for x in parts], axis=1).astype(np.int64) if parts else np.zeros((columns, 0), np.int64)
 
 
 def _resolve_rows(parts: int):
-    """Tasks over documents with runs to resolve: (did, th, packed, runs) to rows of strings."""
+    """Tasks over documents with runs to resolve: (did, th, packed, runs) to rows of the dictionary, or of strings."""
+
+    def settle(phrases: list[R.Records], texts: list[bytes], strings: list[R.Records]) -> pa.RecordBatch:
+        rows = []
+        if phrases:
+            r = R.Records.join(phrases)
+            size = r.c[4].astype(np.int64) + WINDOW - 1
+            end = np.cumsum(size)
+            part = ((r.c[0] >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            cuts = np.flatnonzero(np.concatenate([[True], np.diff(part[order]) != 0]))
+            raw = np.frombuffer(b"".join(texts), np.uint8)
+            for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
+                own = order[a:b]
+                text = np.concatenate([raw[end[k] - size[k] : end[k]] for k in own])
+                head = r[own].pack()
+                rows.append((DICTIONARY, int(part[own[0]]), 0, len(head), head + zstandard.ZstdCompressor(level=1).compress(text.tobytes())))
+        if strings:
+            rows += _strings(parts, R.Records.join(strings))
+        return _batches(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, strings, held = B.Powers(), [], 0
+        powers, phrases, texts, strings, held = B.Powers(), [], [], [], 0
         for batch in batches:
             dids, ths = batch.column("did").to_pylist(), batch.column("th").to_pylist()
             z = zstandard.ZstdDecompressor()
             for did, th, packed, runs in zip(dids, ths, batch.column("packed"), batch.column("runs"), strict=True):
-                start, size = _runs(runs.as_py())
-                order = np.argsort(start)
+                start, size, trigger, many = _runs(runs.as_py(), 4)
+                text = z.decompress(packed.as_py())
+                few = np.flatnonzero(many == 0)
+                if len(few):
+                    texts += [text[a : a + n + WINDOW - 1] for a, n in zip(start[few].tolist(), size[few].tolist(), strict=True)]
+                    phrases.append(R.Records(B.mix(trigger[few].astype(np.uint64)), np.full(len(few), did, np.int64), np.full(len(few), th, np.int64), start[few].astype(np.uint32), size[few].astype(np.uint8)))
+                    held += 8 * len(few)
+                order = np.flatnonzero(many)[np.argsort(start[many > 0])]
                 start, size = start[order], size[order]
-                text = np.frombuffer(z.decompress(packed.as_py()), np.uint8)
                 k = 0
                 while k < len(start):  # a stretch of the text at a time
                     end = int(np.searchsorted(start, start[k] + BLOCK))
                     a = int(start[k])
                     b = int((start[k:end] + size[k:end]).max()) + WINDOW - 1
-                    spans = B.Spans(text[a:b], powers)
+                    spans = B.Spans(np.frombuffer(text, np.uint8)[a:b], powers)
                     _, place = _explode(spans, start[k:end] - a, size[k:end])
                     strings.append(R.Records(spans.hash(place, place + WINDOW), np.full(len(place), did, np.int64), np.full(len(place), th, np.int64), (place + a).astype(np.uint32)))
                     held += len(place)
                     k = end
                 if held > FLUSH:
-                    yield _batches(_strings(parts, R.Records.join(strings)))
-                    strings, held = [], 0
-        if strings:
-            yield _batches(_strings(parts, R.Records.join(strings)))
+                    yield settle(phrases, texts, strings)
+                    phrases, texts, strings, held = [], [], [], 0
+        yield settle(phrases, texts, strings)
 
     return run
 
 
-def _merge_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = []
+def suffix_ranks(text: np.ndarray) -> np.ndarray:
+    """Ranks of all suffixes by their first ``WINDOW`` bytes (8, then doubled, then two that overlap); the end is padded."""
+    wide = np.concatenate([text, np.zeros(WINDOW + 8, np.uint8)]).astype(np.uint64)
+    key = np.zeros(len(text) + WINDOW, np.uint64)
+    for k in range(8):
+        key |= wide[k : k + len(key)] << np.uint64(56 - 8 * k)
+    _, rank = np.unique(key, return_inverse=True)
+    for step in (8, 16, 32, WINDOW - 64):
+        after = np.concatenate([rank[step:], np.zeros(step, rank.dtype)])
+        _, rank = np.unique(rank.astype(np.uint64) << np.uint64(32) | after.astype(np.uint64), return_inverse=True)
+    return rank[: len(text)]
+
+
+def _merge_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tasks over parts: the dictionary and strings become removed runs."""
+    strings, phrases, texts = [], [], []
     for batch in batches:
         kind = batch.column("kind").to_numpy()
-        held += [R.Records.unpack(x) for x in batch.column("data").filter(pa.array(kind == STRINGS)).to_pylist()]
-        if (kind != STRINGS).any():
-            yield batch.filter(pa.array(kind != STRINGS))
-    if held:
-        r = R.Records.join(held)
+        strings += [R.Records.unpack(x) for x in batch.column("data").filter(pa.array(kind == STRINGS)).to_pylist()]
+        own = batch.filter(pa.array(kind == DICTIONARY))
+        for cut, data in zip(own.column("th").to_pylist(), own.column("data").to_pylist(), strict=True):
+            phrases.append(R.Records.unpack(data[:cut]))
+            texts.append(zstandard.ZstdDecompressor().decompress(data[cut:]))
+        if (kind == REMOVED).any():
+            yield batch.filter(pa.array(kind == REMOVED))
+    if strings:
+        r = R.Records.join(strings)
         _, later = R.first_of_equals((r.c[0],), *r.c[1:])
-        gone = r[later]
-        yield _batches(_by_doc(REMOVED, *gone.c[1:], np.ones(len(gone), np.uint32)))
+        yield _batches(_by_doc(REMOVED, *_merged_runs(*r[later].c[1:])))
+    if phrases:
+        r = R.Records.join(phrases)
+        size = r.c[4].astype(np.int64)
+        first = np.cumsum(size + WINDOW - 1) - (size + WINDOW - 1)
+        rank = suffix_ranks(np.frombuffer(b"".join(texts), np.uint8))
+        which = np.repeat(np.arange(len(size)), size)
+        step = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
+        did, th, start = r.c[1][which], r.c[2][which], r.c[3][which].astype(np.int64) + step
+        _, later = R.first_of_equals((rank[first[which] + step],), did, th, start)
+        yield _batches(_by_doc(REMOVED, *_merged_runs(did[later], th[later], start[later])))
 
 
 def covered(n: int, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -299,18 +348,18 @@ def remove_repeats(docs: DataFrame, part_bytes: int = 12 << 20, keep_text: bool
     packed_as = "doc_id long, did long, th long, packed binary"
     runs = lambda df, kind: df.where(F.col("kind") == kind).groupBy("did", "th").agg(F.collect_list("data").alias("runs"))
 
-    packed = lambda bits, member: own.mapInArrow(_pack(bits, member), packed_as)
+    packed = lambda bits, member: own.mapInArrow(B.tidy(_pack(bits, member)), packed_as)
 
-    parsed = own.select("did", "th", "text").mapInArrow(_parse_rows(parts), ROWS)
-    first = checkpoint(parsed.repartition(parts, "part").mapInArrow(_merge_phrases, ROWS))
+    parsed = own.select("did", "th", "text").mapInArrow(B.tidy(_parse_rows(parts)), ROWS)
+    first = checkpoint(parsed.repartition(parts, "part").mapInArrow(B.tidy(_merge_phrases), ROWS))
     resolve = first.where(F.col("kind") == RESOLVE)
     affected = spark.sparkContext.broadcast(R.bitmap(resolve))
-    open_runs = packed(affected, True).join(runs(first, RESOLVE), ["did", "th"]).select("did", "th", "packed", "runs").mapInArrow(_resolve_rows(parts), ROWS)
-    strings = open_runs.unionAll(first.where(F.col("kind") == STRINGS)).repartition(parts, "part").mapInArrow(_merge_strings, ROWS)
-    removed = checkpoint(first.where(F.col("kind") == REMOVED).unionAll(strings))
+    open_runs = packed(affected, True).join(runs(first, RESOLVE), ["did", "th"]).select("did", "th", "packed", "runs").mapInArrow(B.tidy(_resolve_rows(parts)), ROWS)
+    rest = open_runs.unionAll(first.where(F.col("kind") == STRINGS)).repartition(parts, "part").mapInArrow(B.tidy(_merge_rest), ROWS)
+    removed = checkpoint(first.where(F.col("kind") == REMOVED).unionAll(rest))
     affected = spark.sparkContext.broadcast(R.bitmap(removed))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
-    cut = packed(affected, True).join(runs(removed, REMOVED), ["did", "th"], "left").select("doc_id", "packed", "runs").mapInArrow(_cut(keep_text), schema)
+    cut = packed(affected, True).join(runs(removed, REMOVED), ["did", "th"], "left").select("doc_id", "packed", "runs").mapInArrow(B.tidy(_cut(keep_text)), schema)
     # documents that lose nothing need no shuffle
-    whole = packed(affected, False).select("doc_id", "packed", F.array().cast("array<binary>").alias("runs")).mapInArrow(_cut(keep_text), schema)
+    whole = packed(affected, False).select("doc_id", "packed", F.array().cast("array<binary>").alias("runs")).mapInArrow(B.tidy(_cut(keep_text)), schema)
     return cut.unionAll(whole)
