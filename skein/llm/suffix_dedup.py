@@ -96,7 +96,7 @@ def _by_doc(kind: int, did: np.ndarray, th: np.ndarray, *columns: np.ndarray) ->
     order = np.lexsort((columns[0], th, did))
     did, th, columns = did[order], th[order], np.stack([c[order].astype(np.uint32) for c in columns])
     cuts = np.flatnonzero(np.concatenate([[True], (did[1:] != did[:-1]) | (th[1:] != th[:-1])]))
-    return [(kind, 0, int(did[a]), int(th[a]), columns[:, a:b].tobytes()) for a, b in zip(cuts, [*cuts[1:], len(did)], strict=True)]
+    return [(kind, int(th[a]) & 0x7FFFFFFF, int(did[a]), int(th[a]), columns[:, a:b].tobytes()) for a, b in zip(cuts, [*cuts[1:], len(did)], strict=True)]
 
 
 def _merged_runs(did: np.ndarray, th: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -288,14 +288,31 @@ def _merge_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batches(_by_doc(REMOVED, *_merged_runs(*r[later].c[1:])))
     if phrases:
         r = R.Records.join(phrases)
-        size = r.c[4].astype(np.int64)
-        first = np.cumsum(size + WINDOW - 1) - (size + WINDOW - 1)
-        rank = suffix_ranks(np.frombuffer(b"".join(texts), np.uint8))
-        which = np.repeat(np.arange(len(size)), size)
-        step = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
-        did, th, start = r.c[1][which], r.c[2][which], r.c[3][which].astype(np.int64) + step
-        _, later = R.first_of_equals((rank[first[which] + step],), did, th, start)
-        yield _batches(_by_doc(REMOVED, *_merged_runs(did[later], th[later], start[later])))
+        raw = np.frombuffer(b"".join(texts), np.uint8)
+        del phrases, texts
+        end = np.cumsum(r.c[4].astype(np.int64) + WINDOW - 1)
+        order = np.argsort(r.c[0], kind="stable")
+        new = np.concatenate([[True], r.c[0][order][1:] != r.c[0][order][:-1]])
+        # some triggers at a time: their suffixes meet no others
+        done = np.cumsum(r.c[4][order].astype(np.int64) + WINDOW - 1)
+        block = (done[np.flatnonzero(new)] - 1) // BLOCK
+        cuts = np.flatnonzero(new)[np.concatenate([[True], block[1:] != block[:-1]])]
+        for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
+            own = order[a:b]
+            if b - a > 1:
+                yield _batches(_repeated_suffixes(r[own], [raw[e - n : e] for e, n in zip(end[own].tolist(), (r.c[4][own].astype(np.int64) + WINDOW - 1).tolist(), strict=True)]))
+
+
+def _repeated_suffixes(r: R.Records, texts: list[np.ndarray]) -> list[tuple]:
+    """Removed runs of phrases (trigger, did, th, start, size) with their texts."""
+    size = r.c[4].astype(np.int64)
+    first = np.cumsum(size + WINDOW - 1) - (size + WINDOW - 1)
+    rank = suffix_ranks(np.concatenate(texts))
+    which = np.repeat(np.arange(len(size)), size)
+    step = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
+    did, th, start = r.c[1][which], r.c[2][which], r.c[3][which].astype(np.int64) + step
+    _, later = R.first_of_equals((rank[first[which] + step],), did, th, start)
+    return _by_doc(REMOVED, *_merged_runs(did[later], th[later], start[later]))
 
 
 def covered(n: int, start: np.ndarray, size: np.ndarray) -> np.ndarray:
