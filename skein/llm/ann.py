@@ -10,7 +10,8 @@ third of all vectors is many tasks; each piece gives its best ``k``, which are m
 computed row by row from the original vectors, so equal vectors tie exactly; ties go to the smaller vec_id.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows without vec_id or of
-another length than the longest part of the vectors. Rows that repeat a vec_id are candidates each.
+another length than most vectors. Rows that repeat a vec_id are candidates each, and one query (the least vector).
+Leaves are visited until they hold ``k`` candidates at least, so a query gets all there are if they are fewer.
 """
 
 from __future__ import annotations
@@ -83,11 +84,12 @@ class Tree:
             open_ = open_[[bool(self.children[n]) for n in node[open_]]]
         return self.leaf[node]
 
-    def order(self, q: np.ndarray, most: int) -> list[int]:
-        """The first ``most`` leaves, best bin first."""
+    def order(self, q: np.ndarray, most: int, held: np.ndarray | None = None, need: int = 0) -> list[int]:
+        """The first ``most`` leaves, best bin first, and more until they hold ``need`` vectors."""
         out: list[int] = []
         queue = [(0.0, 0)]
-        while queue and len(out) < most:
+        have = 0
+        while queue and (len(out) < most or have < need):
             _, node = heapq.heappop(queue)
             while kids := self.children[node]:
                 far = self.half[kids] - self.centres[kids] @ q
@@ -97,6 +99,7 @@ class Tree:
                         heapq.heappush(queue, (float(far[i]), c))
                 node = kids[best]
             out.append(int(self.leaf[node]))
+            have += int(held[out[-1]]) if held is not None else 0
         return out
 
 
@@ -146,11 +149,11 @@ def _assign(tree):
     return run
 
 
-def _visits(tree, most: int):
+def _visits(tree, most: int, held: np.ndarray, need: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _unit(_matrix(batch.column("v"))) if len(batch) else []
-            leaves = [tree.value.order(q, most) for q in x]
+            leaves = [tree.value.order(q, most, held, need) for q in x]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaves, pa.list_(pa.int32()))], names=[*batch.schema.names, "leaves"])
 
     return run
@@ -203,7 +206,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, recall: float = 0.97
             return empty
     tree = sc.broadcast(Tree(_unit(some), branch, leaf_rows, most_leaves))
     placed = checkpoint(own.mapInArrow(B.tidy(_assign(tree)), "vec_id long, v array<double>, leaf int"))
-    queries = own.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v")
+    queries = own.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
     asked = queries.count()
     if not asked:
         return empty
@@ -216,9 +219,10 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, recall: float = 0.97
     at = np.sort([turn[r["query_id"]][t["leaf"]] for r in true for t in r["top"]])
     visits = int(at[min(len(at) - 1, int(np.ceil(recall * len(at))))]) + 1 if len(at) else tree.value.leaves
 
-    asking = queries.mapInArrow(B.tidy(_visits(tree, visits)), "query_id long, v array<double>, leaves array<int>").select("query_id", "v", F.explode("leaves").alias("leaf"))
     # sizes of leaves on either side: at most most_leaves rows
     have = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}
+    held = np.array([have.get(n, 0) for n in range(tree.value.leaves)])
+    asking = queries.mapInArrow(B.tidy(_visits(tree, visits, held, k + 1)), "query_id long, v array<double>, leaves array<int>").select("query_id", "v", F.explode("leaves").alias("leaf"))
     want = {r["leaf"]: r["count"] for r in asking.groupBy("leaf").count().collect()}
     cuts = [(n, max(1, -(-have.get(n, 0) // piece)), max(1, -(-want.get(n, 0) // piece))) for n in range(tree.value.leaves)]
     cuts = F.broadcast(spark.createDataFrame(cuts, "leaf int, pieces int, groups int"))

@@ -42,6 +42,14 @@ def test_equal_vectors_and_ties(spark):
     assert [v for v, _ in own[0]] == [1, 2, 3, 4, 5] and [v for v, _ in own[50]] == [0, 1, 2, 3, 4]
 
 
+def test_every_query_gets_its_fill(spark):
+    """Small leaves far apart: few visits would find fewer than k."""
+    rows = [(i, [float(i // 3 * 1000 + 1), float(i % 3), 1.0]) for i in range(150)] + [(0, [1.0, 0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    own = found(ann.search(df, leaf_rows=2, branch=4, recall=0.01))
+    assert {q: len(x) for q, x in own.items()} == {0: 5, 50: 5, 100: 5}
+
+
 def test_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (50, None), (100, []), (150, [0.0, 0.0]), (200, [float("nan"), 1.0]), (250, [float("inf"), 1.0]), (300, [None, 1.0]), (350, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (1, [1.0, 1.0]), (2, [0.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
