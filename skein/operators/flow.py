@@ -254,9 +254,18 @@ class Flow:
         """name=(initial value, aggregate expression): the initial value is the result for no rows."""
         return self._single({n: col(a) for n, (_, a) in folds.items()}, {n: col(i) for n, (i, _) in folds.items()})
 
-    def fold_with(self, name: str, value: Expr, initial: Expr, step: Callable[[Column, Column], Column]) -> Single:
-        """A fold that is no built-in aggregate: ``step`` over the sorted values. It must not depend on their order."""
-        return self._single({name: F.aggregate(F.array_sort(F.collect_list(col(value))), col(initial), step)}, {name: col(initial)})
+    def fold_with(self, name: str, value: Expr, initial: Expr, step: Callable[[Column, Column], Column], combine: Callable[[Column, Column], Column] | None = None) -> Single:
+        """A fold that is no built-in aggregate: ``step`` over the values. It must not depend on their order.
+
+        With ``combine``, which puts two results together, pieces of some thousand rows are folded first, and their
+        results then; ``initial`` must be neutral. Without it all values of a scope meet in one task.
+        """
+        flow, start = self, col(initial)
+        if combine is not None:
+            piece = self.df.select(*self._scopes, col(value).alias("_v"), F.expr("monotonically_increasing_id() div 8192").alias("_p"))
+            folded = piece.groupBy(*self._scopes, "_p").agg(F.aggregate(F.collect_list("_v"), start, step).alias("_v"))
+            flow, value, step = self._with(folded, key=()), F.col("_v"), combine
+        return flow._single({name: F.aggregate(F.array_sort(F.collect_list(col(value))), start, step)}, {name: start})
 
     def reduce(self, **aggs: Expr) -> Single:
         """Aggregates that have no value for no rows: then there is no result."""

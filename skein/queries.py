@@ -194,7 +194,8 @@ def fold_empty_default(t):
 
 @query("select bit_xor(o_orderkey) as x from orders")
 def fold_with_step(t):
-    return t.orders.fold_with("x", "o_orderkey", "0L", lambda acc, x: acc.bitwiseXOR(x))
+    xor = lambda acc, x: acc.bitwiseXOR(x)
+    return t.orders.fold_with("x", "o_orderkey", "0L", xor, xor)
 
 
 @query("select max(o_totalprice) as m, min(o_orderkey) as k from orders")

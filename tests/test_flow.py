@@ -91,6 +91,9 @@ def test_aggregates(spark):
     assert none.fold(s=("7L", "sum(x)")).value()[0] == 7 and none.reduce(s="sum(x)").value() is None
     assert input_range(spark, 1, 10).fold(s=("0L", "sum(x)")).value()[0] == 45
     assert input_range(spark, 1, 5).fold_with("p", "x", "1L", lambda a, x: a * x).value()[0] == 24
+    plus = lambda a, x: a + x
+    assert input_range(spark, 0, 30_000).fold_with("s", "x", "0L", plus, plus).value()[0] == 29_999 * 15_000
+    assert none.fold_with("s", "x", "0L", plus, plus).value()[0] == 0
     groups = input_range(spark, 0, 2000).key_by(k="x % 4").reduce_by_key(n="count(*)")
     assert values(groups, "k", "n") == [(k, 500) for k in range(4)]
     assert input_range(spark, 0, 8000).collect("x").value()[0] == list(range(8000))
