@@ -45,9 +45,9 @@ def topic_of(text: Column) -> Column:
 def default_targets(cells: DataFrame, budget: float) -> DataFrame:
     """dim, value, target: tokens that the value should have when ``budget`` of all tokens are kept."""
     each = reduce(DataFrame.unionAll, (cells.groupBy(F.col(d).alias("value")).agg(F.sum("tokens").cast("double").alias("n")).where("n > 0").select(F.lit(d).alias("dim"), "value", F.pow("n", F.lit(FLATTEN[d])).alias("m")) for d in DIMENSIONS))
-    whole = each.groupBy("dim").agg(F.sum("m").alias("all"))
-    total = cells.agg(F.sum("tokens").cast("double").alias("tokens"))
-    return each.join(F.broadcast(whole), "dim").crossJoin(F.broadcast(total)).select("dim", "value", (F.col("m") / F.col("all") * F.col("tokens") * budget).alias("target"))
+    whole = each.groupBy("dim").agg(F.sum("m").alias("all"))  # a row for each dimension
+    total = float(cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0])
+    return each.join(F.broadcast(whole), "dim").select("dim", "value", (F.col("m") / F.col("all") * total * budget).alias("target"))
 
 
 def rake_local(cells, targets, rounds: int = ROUNDS) -> np.ndarray:
