@@ -198,10 +198,10 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, recall: float = 0.97
     own = usable(vectors)
     rows = own.count()
     step = max(1, -(-rows // sample))
-    some = np.array([r["v"] for r in own.where(F.pmod(F.xxhash64("vec_id"), F.lit(step)) == 0).select("v").collect()], np.float64)
+    some = _matrix(own.where(F.pmod(F.xxhash64("vec_id"), F.lit(step)) == 0).select("v").toArrow().column("v"))
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not len(some):
-        some = np.array([r["v"] for r in own.limit(1).select("v").collect()], np.float64)
+        some = _matrix(own.select("v").limit(1).toArrow().column("v"))
         if not len(some):
             return empty
     tree = sc.broadcast(Tree(_unit(some), branch, leaf_rows, most_leaves))
@@ -210,9 +210,9 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, recall: float = 0.97
     asked = queries.count()
     if not asked:
         return empty
-    chosen = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(max(1, asked // probes))) == 0).orderBy(F.xxhash64("query_id")).limit(2 * probes).collect() or queries.limit(1).collect()
-    q = np.array([r["v"] for r in chosen], np.float64)
-    ids = np.array([r["query_id"] for r in chosen], np.int64)
+    chosen = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(max(1, asked // probes))) == 0).orderBy(F.xxhash64("query_id")).limit(2 * probes).toArrow()
+    chosen = chosen if len(chosen) else queries.limit(1).toArrow()
+    q, ids = _matrix(chosen.column("v")), chosen.column("query_id").to_numpy()
     true = placed.mapInArrow(B.tidy(_brute(sc.broadcast((ids, q)), k)), HIT + ", leaf int")
     true = true.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id", "leaf"))), 1, k).alias("top")).collect()
     turn = {int(i): {leaf: n for n, leaf in enumerate(tree.value.order(x, tree.value.leaves))} for i, x in zip(ids, _unit(q), strict=True)}
