@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -24,6 +26,23 @@ SOLID_BYTE = np.ones(256, bool)
 SOLID_BYTE[[9, 10, 11, 12, 13, 32]] = False
 
 
+class Shared:
+    """A broadcast object of a class of this package, sent with the code of its class."""
+
+    def __init__(self, df: DataFrame, value: object) -> None:
+        self._sent = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(value))
+        self._value = None
+
+    def __getstate__(self) -> dict:
+        return {"_sent": self._sent, "_value": None}
+
+    @property
+    def value(self):
+        if self._value is None:
+            self._value = pickle.loads(self._sent.value)
+        return self._value
+
+
 def small_batches(df: DataFrame) -> None:
     """Have Spark send rows to Python in batches of at most 1,000 rows and 8 MB, as they may hold whole long texts."""
     conf = df.sparkSession.conf

@@ -204,7 +204,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, recall: float = 0.97
         some = _matrix(own.select("v").limit(1).toArrow().column("v"))
         if not len(some):
             return empty
-    tree = sc.broadcast(Tree(_unit(some), branch, leaf_rows, most_leaves))
+    tree = B.Shared(vectors, Tree(_unit(some), branch, leaf_rows, most_leaves))
     placed = checkpoint(own.mapInArrow(B.tidy(_assign(tree)), "vec_id long, v array<double>, leaf int"))
     queries = own.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
     asked = queries.count()

@@ -136,7 +136,7 @@ def fit(docs: DataFrame, per_language: int = 250, landmarks: int = 96, least_tex
 def predict(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """``docs`` with the predicted language and a score from 0 to 1; ``und`` and 0 for null and for text without a letter."""
     B.small_batches(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = B.Shared(docs, model)
     t = F.col("text")
     df = docs.withColumns({"__low": F.lower(F.coalesce(t, F.lit(""))), "__letter": F.coalesce(t.rlike(r"\p{L}"), F.lit(False))})
     schema = T.StructType([*docs.schema.fields, T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())])
@@ -148,6 +148,6 @@ def report(docs: DataFrame) -> DataFrame:
     B.small_batches(docs)
     own = docs.select("doc_id", "text")
     df = own.withColumns({"__low": F.lower(F.coalesce("text", F.lit(""))), "__letter": F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)), "held_out": held_out(F.col("doc_id"))}).drop("text")
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
+    shared = B.Shared(docs, fit(docs))
     out = T.StructType([docs.schema["doc_id"], T.StructField("held_out", T.BooleanType()), T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())])
     return df.select("doc_id", "held_out", "__low", "__letter").mapInArrow(B.tidy(_predictor(shared)), out).toDF("doc_id", "held_out", "lang_pred", "score")

@@ -224,7 +224,7 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     spark = docs.sparkSession
     own = R.documents(docs, text).withColumns({"a": F.xxhash64("text"), "b": F.xxhash64(F.lit(1), "text")})
-    idf = spark.sparkContext.broadcast(word_idf(own))
+    idf = B.Shared(docs, word_idf(own))
     signed = checkpoint(own.select("doc_id", "did", "th", "a", "b", "text").mapInArrow(B.tidy(_sign(idf)), "doc_id long, did long, th long, a long, b long, some boolean, bands array<long>"))
     node = F.struct("a", "b").alias("node")
     nodes = signed.where("some").groupBy(node).agg(F.min(F.struct("did", "th")).alias("first"), F.any_value("bands").alias("bands"))
