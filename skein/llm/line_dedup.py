@@ -92,7 +92,7 @@ def _by_doc(kind: int, did: np.ndarray, th: np.ndarray, line: np.ndarray) -> lis
     order = np.lexsort((line, th, did))
     did, th, line = did[order], th[order], line[order].astype(np.uint32)
     cuts = np.flatnonzero(np.concatenate([[True], (did[1:] != did[:-1]) | (th[1:] != th[:-1])]))
-    return [(kind, 0, int(did[a]), int(th[a]), line[a:b].tobytes()) for a, b in zip(cuts, [*cuts[1:], len(did)], strict=True)]
+    return [(kind, int(th[a]) & 0x7FFFFFFF, int(did[a]), int(th[a]), line[a:b].tobytes()) for a, b in zip(cuts, [*cuts[1:], len(did)], strict=True)]
 
 
 def _shared(r: R.Records) -> tuple[np.ndarray, np.ndarray]:
