@@ -187,7 +187,7 @@ def _finder(items, keep: list[str], text: str, shard_bytes: int):
     return run
 
 
-def find(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", window: int = 10, item_bytes: int = 16 << 20, shard_bytes: int = 4 << 20) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", window: int = 10, item_bytes: int = 16 << 20, shard_bytes: int = 1 << 20) -> DataFrame:
     """Columns ``keep`` of each row, with n_words, hits (64-bit word numbers), n_hit, items (sorted ids) and longest matches.
 
     ``longest`` has, for each item suffix of which this shard holds a window, the longest verbatim match in the shard, at
@@ -204,7 +204,7 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "te
 
     def search_all(df: DataFrame, cols: list[str], out: T.StructType, k: int) -> DataFrame:
         own = block(k).collect()
-        items = spark.sparkContext.broadcast(Items([r["i"] for r in own], [r["t"] for r in own], window))
+        items = B.Shared(docs, Items([r["i"] for r in own], [r["t"] for r in own], window))
         return df.select(*dict.fromkeys([*cols, text])).mapInArrow(B.tidy(_finder(items, cols, text, shard_bytes)), out)
 
     if parts == 1:
