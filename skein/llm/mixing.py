@@ -106,7 +106,8 @@ def probabilities(measured: DataFrame, targets: DataFrame | None = None, budget:
             for c in cols:
                 frame[c] = [None if x is None or x != x else x for x in frame[c]]
         rows = [(*x, float(p)) for x, p in zip(local[list(DIMENSIONS)].itertuples(index=False), rake_local(local, wanted, rounds) / np.maximum(local["tokens"].to_numpy(np.float64), 1), strict=True)]
-        return measured.sparkSession.createDataFrame(rows, "source string, lang string, topic string, probability double")
+        # the number of rows has been looked at: safe to broadcast, so that documents needn't be shuffled
+        return F.broadcast(measured.sparkSession.createDataFrame(rows, "source string, lang string, topic string, probability double"))
     return rake_spark(cells, checkpoint(targets), rounds).select(*DIMENSIONS, (F.col("raked") / F.col("tokens")).alias("probability"))
 
 
