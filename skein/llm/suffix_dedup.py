@@ -15,8 +15,8 @@ order, by the first occurrence of their phrase, are removed. Suffixes of differe
 dealt out by trigger.
 
 Each task first settles what repeats within its own rows, so that a passage with very many copies reaches the shuffle once
-a task. A trigger with more than ``HOT`` phrases in a block of text, or more than ``MANY`` in all, isn't left to one task: its
-strings are dealt out by hash, string by string.
+a task. A trigger with more than ``HOT`` phrases in any block of text, or more than ``MANY`` in all, isn't left to one task:
+the strings of all its phrases, from every block, are dealt out by hash, string by string.
 
 A document is known by doc_id and a hash of its text; rows that repeat whole are one document and get one result. Of rows
 with one doc_id and different texts, that with the smaller hash is earlier. A null doc_id comes first; null text is empty.
@@ -128,6 +128,8 @@ def _parse_rows(parts: int):
         if phrases:
             r = R.Records.join(phrases)
             first, later = R.first_of_equals((r.c[1], r.c[0]), *r.c[2:5])
+            # the mark belongs to the trigger: it must outlive the phrase that brought it
+            r = R.Records(*r.c[:6], np.isin(r.c[0], r.c[0][r.c[6]]))
             gone = r[later]
             rows += _by_doc(REMOVED, gone.c[2], gone.c[3], gone.c[4], gone.c[5])
             rows += R.by_part(PHRASES, parts, r[first], narrow=True)
@@ -148,7 +150,8 @@ def _parse_rows(parts: int):
                     continue
                 row = np.searchsorted(local, start, "right") - 1
                 r = R.Records(trigger, phrase, did[i:j][row], th[i:j][row], (start + a - at[i:j][row]).astype(np.uint32), size.astype(np.uint8))
-                # a trigger with very many phrases: all but a few go on as strings, and those few tell other tasks of it
+                # a trigger with very many phrases: all but a few go on as strings, and those few carry a mark, by which the
+                # phrases of the trigger in all blocks (these few, too) become strings, for all of them to meet
                 order = np.lexsort((phrase, trigger))
                 t, q = trigger[order], phrase[order]
                 new = np.concatenate([[True], t[1:] != t[:-1]])
@@ -160,13 +163,8 @@ def _parse_rows(parts: int):
                     over = r[many]
                     h = spans.hash(place, place + WINDOW)
                     strings.append(R.Records(h, over.c[2][which], over.c[3][which], (over.c[4][which] + (place - start[many][which])).astype(np.uint32)))
-                    # the first ones of such a trigger are strings too, for all of them to meet
-                    lead = np.isin(trigger, trigger[many]) & ~many
-                    which, place = _explode(spans, start[lead], size[lead])
-                    over = r[lead]
-                    strings.append(R.Records(spans.hash(place, place + WINDOW), over.c[2][which], over.c[3][which], (over.c[4][which] + (place - start[lead][which])).astype(np.uint32)))
                     held += int(size[many].sum())
-                    r = r[~many]
+                r = R.Records(*r.c, np.isin(trigger, trigger[many]))[~many]
                 phrases.append(r)
                 held += len(r)
                 if held > FLUSH:
@@ -190,12 +188,15 @@ def _merge_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     r = R.Records.join(held)
     del held
     first, later = R.first_of_equals((r.c[1], r.c[0]), *r.c[2:5])
+    marked = np.unique(r.c[0][r.c[6]])
     gone, r = r[later], r[first]
     yield _batches(_by_doc(REMOVED, gone.c[2], gone.c[3], gone.c[4], gone.c[5]))
     triggers, n = np.unique(r.c[0], return_counts=True)
     own = n[np.searchsorted(triggers, r.c[0])]
-    more = r[own > 1]
-    yield _batches(_by_doc(RESOLVE, *more.c[2:6], more.c[0], own[own > 1] > MANY))
+    hot = np.isin(r.c[0], marked)
+    open_ = (own > 1) | hot
+    more = r[open_]
+    yield _batches(_by_doc(RESOLVE, *more.c[2:6], more.c[0], (own[open_] > MANY) | hot[open_]))
 
 
 def _runs(parts: list[bytes], columns: int = 2) -> np.ndarray:

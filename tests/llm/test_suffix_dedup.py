@@ -42,6 +42,26 @@ def test_against_brute_force(documents, monkeypatch, part_bytes, block, many):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("lone_first", [False, True])
+def test_hot_block_and_single_phrases(spark, lone_first):
+    """A block with many phrases of a trigger, and blocks that hold one phrase of it, or a part of one."""
+    rng = random.Random(11)
+    noise = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    long = np.frombuffer(noise(50000).encode(), np.uint8)
+    place = np.arange(len(long) - S.GRAM + 1)
+    k = int(S.B.Spans(long, S.B.Powers()).hash(place, place + S.GRAM).argmin())
+    trigger = long[k : k + S.GRAM].tobytes().decode()
+    hot = [noise(80) + trigger + noise(80) for _ in range(20)]
+    lone = [t if i % 2 else noise(50) + t[20:150] + noise(50) for i, t in enumerate(hot[4:16])]
+    ids = iter(range(100))
+    blocks = [[(next(ids), t)] for t in lone] if lone_first else []
+    blocks.append([(next(ids), t) for t in hot])
+    blocks += [] if lone_first else [[(next(ids), t)] for t in lone]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(range(len(blocks)), len(blocks)).flatMap(lambda i: blocks[i]), "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in S.remove_repeats(docs).collect()}
+    assert got == brute([r for b in blocks for r in b]) and sum(r[2] > 0 for r in got.values()) == len(lone)
+
+
 def test_suffix_ranks():
     text = np.frombuffer(("ab" * 200 + "c" + "ab" * 200).encode(), np.uint8)
     rank = S.suffix_ranks(text)
