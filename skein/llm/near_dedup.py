@@ -9,8 +9,10 @@ copies back against those that differ, and need a count of all shingles.)
 
 Identical texts are one node. Nodes that share a band of ``ROWS`` of the samples are candidates: all pairs of a bucket of up
 to ``SMALL`` nodes; in a larger one each node with a leader, another one for each band, and then, of parts of the bucket that
-are still apart, each with two delegates of the leader's part. A pair is a link if the weighted Jaccard similarity of the
-whole texts is at least ``LEAST``; classes are the connected components of the links.
+are still apart, each with two delegates of the leader's part. Of buckets that are still in several parts, every pair of nodes
+from two parts that can be a link is compared: two texts with a similarity of ``LEAST`` have so much weight in common that,
+with the shingles of each in one order (rare ones first), they meet in a shingle near the start of both. A pair is a link if
+the weighted Jaccard similarity of the whole texts is at least ``LEAST``; classes are the connected components of the links.
 
 Texts without words (null, empty, signs only) are each alone. Rows that repeat whole (doc_id and text) are one document.
 """
@@ -34,6 +36,12 @@ from .components import connected_components
 WORDS, LEAST = 5, 0.8
 BANDS, ROWS, SMALL = 8, 3, 8
 DF_FLOOR = 0.002
+#: Ratio of the size classes of texts, and how many classes apart two texts of a link can be.
+STEP = 1.05
+APART = int(np.ceil(-np.log(LEAST) / np.log(STEP)))
+SLACK = 1 - 1e-6
+#: Bytes of a shingle in a packed vector, and the type of its weight.
+WIDTH, WEIGHT = 6, np.float16
 BLOCK = 1 << 20
 
 
@@ -213,6 +221,56 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(s, pa.float64())], names=["u", "v", "similarity"])
 
 
+def _shingle(ids: np.ndarray) -> np.ndarray:
+    """Slot of a shingle in the table of counts, whose size is fixed."""
+    return (ids >> np.uint32(12)).astype(np.int64)
+
+
+def _shingle_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = np.zeros(1 << 20, np.int64)
+    for batch in batches:
+        for x in batch.column("vector"):
+            raw = x.as_py()
+            n += np.bincount(_shingle(np.frombuffer(raw, np.uint32, len(raw) // WIDTH)), minlength=len(n))
+    some = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["slot", "n"])
+
+
+def _prefixes(counts):
+    """The shingles by which a text meets each other one it may be linked with.
+
+    Texts x and y of a link have at least LEAST / (1 + LEAST) of their summed weights in common. From the first common shingle
+    on, in any one order, both have at least that weight. ``side`` is -1 for the smaller size class of a pair of classes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        off = np.arange(-APART, APART + 1)
+        for batch in batches:
+            keys, sides, rests, weights, size = [], [], [], [], np.zeros(len(batch), np.int64)
+            for i, x in enumerate(batch.column("vector")):
+                raw = x.as_py()
+                n = len(raw) // WIDTH
+                ids, w = np.frombuffer(raw, np.uint32, n), np.frombuffer(raw, WEIGHT, n, 4 * n).astype(np.float64)
+                order = np.lexsort((ids, counts.value[_shingle(ids)]))
+                ids, rest = ids[order].astype(np.uint64), np.cumsum(w[order][::-1])[::-1]
+                all_ = w.sum()
+                own = int(np.floor(np.log(all_) / np.log(STEP)))
+                need = LEAST / (1 + LEAST) * (all_ + np.maximum(STEP ** (own + off), LEAST * all_)) * SLACK
+                for d, k in zip(off.tolist(), np.searchsorted(-rest, -need, "right").tolist(), strict=True):
+                    pair = B.mix(np.array([(min(own, own + d) + 1000) * 64 + abs(d)], np.uint64))
+                    keys.append(B.mix(ids[:k] ^ pair).view(np.int64))
+                    sides.append(np.full(k, -np.sign(d), np.int32))
+                    rests.append(rest[:k])
+                    size[i] += k
+                weights.append(all_)
+            row = np.repeat(np.arange(len(batch)), size)
+            flat = [np.concatenate(x) if x else np.zeros(0, t) for x, t in ((keys, np.int64), (sides, np.int32), (rests, np.float64))]
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, flat), pa.array(np.array(weights, np.float64)[row]), batch.column("node").take(at), batch.column("root").take(at)], names=["key", "side", "rest", "weight", "node", "root"])
+
+    return run
+
+
 NODE = "struct<a:long,b:long>"
 
 
@@ -256,7 +314,25 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     apart = rest.where(F.col("root") != F.col("lead_root")).join(delegate, ["band", "key"]).select("node", F.explode(F.array("d1", "d2")).alias("d")).select(F.least("node", "d").alias("u"), F.greatest("node", "d").alias("v")).where("u != v")
     more = links(apart.join(found, ["u", "v"], "left_anti"))
     if not more.isEmpty():
-        roots = checkpoint(connected_components(found.unionAll(more), "u", "v"))
+        found = found.unionAll(more)
+        roots = checkpoint(connected_components(found, "u", "v"))
+    # large buckets in several parts: all pairs that can be links
+    rest = shared.where(F.col("n") > SMALL).join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    parts = rest.groupBy("band", "key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("band", "key")
+    split = checkpoint(rest.join(parts, ["band", "key"]).select("node", "root").distinct().join(vectors, "node"))
+    if not split.isEmpty():
+        table = split.select("vector").mapInArrow(B.tidy(_shingle_counts), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+        counts = np.zeros(1 << 20, np.int64)
+        counts[table["slot"].to_numpy()] = table["n"].to_numpy()
+        keyed = checkpoint(split.mapInArrow(B.tidy(_prefixes(spark.sparkContext.broadcast(counts))), f"key long, side int, rest double, weight double, node {NODE}, root {NODE}"))
+        several = keyed.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("key")
+        keyed = checkpoint(keyed.join(several, "key"))
+        x, y = keyed.where("side <= 0").alias("x"), keyed.where("side >= 0").alias("y")
+        meet = "x.key = y.key and x.root != y.root and ((x.side < 0 and y.side > 0) or (x.side = 0 and y.side = 0 and x.node < y.node))"
+        enough = f"least(x.rest, y.rest) >= {LEAST / (1 + LEAST) * SLACK!r}D * (x.weight + y.weight)"
+        last = links(x.join(y, F.expr(f"{meet} and {enough}")).select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v")))
+        if not last.isEmpty():
+            roots = checkpoint(connected_components(found.unionAll(last), "u", "v"))
 
     alone = F.struct("did", "th").alias("root")  # of texts without words
     placed = signed.select("doc_id", "did", "th", "some", node).join(roots, "node", "left").select("doc_id", "did", "th", F.when(F.col("some"), F.coalesce("root", "node")).alias("root"), F.when(~F.col("some"), F.struct("did", "th")).alias("alone"))

@@ -62,6 +62,21 @@ def test_classes(documents):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(brute(rows).values())) and kept.columns == documents(rows).columns
 
 
+def test_small_groups_in_a_large_template_bucket(documents):
+    """Pages of one template, below the threshold for each other, that hold pairs above it."""
+    rng = random.Random(3)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    template, texts = fresh(150), []
+    for _ in range(40):
+        both = fresh(9)
+        texts += [[*template, *both, *fresh(7)], [*template, *both, *fresh(7)], [*template, *fresh(16)]]
+    rng.shuffle(texts)
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    want = brute(rows)
+    assert len(set(want.values())) == 80
+    assert {r["doc_id"]: r["class_id"] for r in N.report(documents(rows)).collect()} == want
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (10, 11), (12, 11), (20, 20)] + [(100, 100 + k) for k in range(1, 50)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
