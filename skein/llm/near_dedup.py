@@ -41,7 +41,7 @@ STEP = 1.05
 APART = int(np.ceil(-np.log(LEAST) / np.log(STEP)))
 SLACK = 1 - 1e-6
 #: Bytes of a shingle in a packed vector, and the type of its weight.
-WIDTH, WEIGHT = 6, np.float16
+WIDTH, WEIGHT = 8, np.float32
 BLOCK = 1 << 20
 
 
@@ -184,7 +184,7 @@ def _sign(idf):
 
 
 def _vectors(idf, bits):
-    """Packed shingles of the documents whose slot is set: sorted 32-bit ids, then weights."""
+    """Packed shingles of the documents whose slot is set: sorted 32-bit ids, then 32-bit weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = B.Powers()
@@ -196,8 +196,7 @@ def _vectors(idf, bits):
                 row, ids, weight = shingles(buf[at[i] : at[j]], at[i : j + 1] - at[i], idf.value, powers)
                 edge = np.searchsorted(row, np.arange(j - i + 1))
                 short = (ids >> np.uint64(12)).astype(np.uint32)  # the high bits, so that the order stays
-                half = weight.astype(np.float16)
-                out += [short[p:q].tobytes() + half[p:q].tobytes() for p, q in zip(edge[:-1], edge[1:], strict=True)]
+                out += [short[p:q].tobytes() + weight[p:q].tobytes() for p, q in zip(edge[:-1], edge[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("th"), pa.array(out, pa.binary())], names=["did", "th", "vector"])
 
     return run
@@ -205,9 +204,9 @@ def _vectors(idf, bits):
 
 def weighted_jaccard(x: bytes, y: bytes) -> float:
     """Sum of lesser weights by sum of greater weights."""
-    n, m = len(x) // 6, len(y) // 6
+    n, m = len(x) // 8, len(y) // 8
     a, b = np.frombuffer(x, np.uint32, n), np.frombuffer(y, np.uint32, m)
-    u, v = np.frombuffer(x, np.float16, n, 4 * n).astype(np.float64), np.frombuffer(y, np.float16, m, 4 * m).astype(np.float64)
+    u, v = np.frombuffer(x, np.float32, n, 4 * n).astype(np.float64), np.frombuffer(y, np.float32, m, 4 * m).astype(np.float64)
     at = np.minimum(np.searchsorted(b, a), max(m - 1, 0))
     same = b[at] == a if m else np.zeros(n, bool)
     both = np.minimum(u[same], v[at[same]]).sum()

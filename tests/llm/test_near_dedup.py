@@ -2,6 +2,10 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from types import SimpleNamespace
+
+import numpy as np
+import pyarrow as pa
 
 from skein.llm import near_dedup as N
 from skein.llm.components import connected_components
@@ -77,6 +81,16 @@ def test_small_groups_in_a_large_template_bucket(documents):
     assert {r["doc_id"]: r["class_id"] for r in N.report(documents(rows)).collect()} == want
 
 
+def test_weights_beyond_half_precision():
+    """One shingle that repeats more often than a 16-bit float can count."""
+    idf = SimpleNamespace(value=N.Idf(np.zeros(0, np.uint64), np.zeros(0, np.int64), 2))
+    bits = SimpleNamespace(value=np.full(N.R.SLOTS // 8, 255, np.uint8))
+    batch = pa.RecordBatch.from_pydict({"did": [1, 2, 3], "th": [1, 2, 3], "slot": [1, 2, 3], "text": ["ha " * 70000, "ha " * 69000, "ha " * 3001]})
+    x, y, z = next(N._vectors(idf, bits)([batch])).column("vector").to_pylist()
+    assert abs(N.weighted_jaccard(x, y) - 68996 / 69996) < 1e-6
+    assert abs(N.weighted_jaccard(z, x) - 2997 / 69996) < 1e-6
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (10, 11), (12, 11), (20, 20)] + [(100, 100 + k) for k in range(1, 50)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
