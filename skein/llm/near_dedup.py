@@ -7,12 +7,12 @@ df of at least ``DF_FLOOR`` * N need to be known, so the table has at most (dist
 entries whatever the number of documents. (The IDF of the shingle itself would set shared shingles of a large group of
 copies back against those that differ, and need a count of all shingles.)
 
-Identical texts are one node. Nodes that share a band of ``ROWS`` of the samples are candidates: all pairs of a bucket of up
-to ``SMALL`` nodes; in a larger one each node with a leader, another one for each band, and then, of parts of the bucket that
-are still apart, each with two delegates of the leader's part. Of buckets that are still in several parts, every pair of nodes
-from two parts that can be a link is compared: two texts with a similarity of ``LEAST`` have so much weight in common that,
-with the shingles of each in one order (rare ones first), they meet in a shingle near the start of both. A pair is a link if
-the weighted Jaccard similarity of the whole texts is at least ``LEAST``; classes are the connected components of the links.
+Identical texts are one node, with a number. Nodes that share a band of ``ROWS`` of the samples are candidates: all pairs of a
+bucket of up to ``SMALL`` nodes; in a larger one each node with a leader, another one for each band. Of larger buckets that
+are still in several parts, every pair of nodes from two parts that can be a link is compared: two texts with a similarity of
+``LEAST`` have so much weight in common that, with the shingles of each in one order (rare ones first), they meet in a
+shingle near the start of both. So ``SMALL`` says where a pair is found, never whether. A pair is a link if the weighted
+Jaccard similarity of the whole texts is at least ``LEAST``; classes are the connected components of the links.
 
 Texts without words (null, empty, signs only) are each alone. Rows that repeat whole (doc_id and text) are one document.
 """
@@ -25,7 +25,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from skein.session import checkpoint
 
@@ -36,9 +35,9 @@ from .components import connected_components
 WORDS, LEAST = 5, 0.8
 BANDS, ROWS, SMALL = 8, 3, 8
 DF_FLOOR = 0.002
-#: Ratio of the size classes of texts, and how many classes apart two texts of a link can be.
-STEP = 1.05
-APART = int(np.ceil(-np.log(LEAST) / np.log(STEP)))
+#: Columns of the bands' keys.
+KEYS = tuple(f"k{i}" for i in range(BANDS))
+#: For sums of rounded weights.
 SLACK = 1 - 1e-6
 #: Bytes of a shingle in a packed vector, and the type of its weight.
 WIDTH, WEIGHT = 8, np.float32
@@ -172,13 +171,11 @@ def _sign(idf):
                 rows, s = samples(*shingles(buf[at[i] : at[j]], at[i : j + 1] - at[i], idf.value, powers), BANDS * ROWS, gamma)
                 some[i + rows] = True
                 key = s.reshape(-1, BANDS, ROWS)
-                x = np.full((len(rows), BANDS), 0, np.uint64)
+                x = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[None, :], len(rows), 0)
                 for c in range(ROWS):
                     x = B.mix(x ^ key[:, :, c])
                 bands[i + rows] = x
-            flat = pa.array(bands.reshape(-1).view(np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * BANDS), flat)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "did", "th", "a", "b")), pa.array(some), lists], names=["doc_id", "did", "th", "a", "b", "some", "bands"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "did", "th", "a", "b")), pa.array(some), *(pa.array(bands[:, k].view(np.int64)) for k in range(BANDS))], names=["doc_id", "did", "th", "a", "b", "some", *KEYS])
 
     return run
 
@@ -236,109 +233,96 @@ def _shingle_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _prefixes(counts):
-    """The shingles by which a text meets each other one it may be linked with.
+    """The shingles by which a text meets each other one it may be linked with: key, short, rest, weight, node, root.
 
     Texts x and y of a link have at least LEAST / (1 + LEAST) of their summed weights in common. From the first common shingle
-    on, in any one order, both have at least that weight. ``side`` is -1 for the smaller size class of a pair of classes.
+    on, in any one order, both have at least that weight (``rest``). A partner weighs at least LEAST as much, which bounds
+    the shingles that count; those that also do for a partner of at least this text's weight are marked ``short``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        off = np.arange(-APART, APART + 1)
         for batch in batches:
-            keys, sides, rests, weights, size = [], [], [], [], np.zeros(len(batch), np.int64)
+            keys, rests, weights, size = [], [], np.zeros(len(batch)), np.zeros(len(batch), np.int64)
             for i, x in enumerate(batch.column("vector")):
                 raw = x.as_py()
                 n = len(raw) // WIDTH
                 ids, w = np.frombuffer(raw, np.uint32, n), np.frombuffer(raw, WEIGHT, n, 4 * n).astype(np.float64)
                 order = np.lexsort((ids, counts.value[_shingle(ids)]))
-                ids, rest = ids[order].astype(np.uint64), np.cumsum(w[order][::-1])[::-1]
-                all_ = w.sum()
-                own = int(np.floor(np.log(all_) / np.log(STEP)))
-                need = LEAST / (1 + LEAST) * (all_ + np.maximum(STEP ** (own + off), LEAST * all_)) * SLACK
-                for d, k in zip(off.tolist(), np.searchsorted(-rest, -need, "right").tolist(), strict=True):
-                    pair = B.mix(np.array([(min(own, own + d) + 1000) * 64 + abs(d)], np.uint64))
-                    keys.append(B.mix(ids[:k] ^ pair).view(np.int64))
-                    sides.append(np.full(k, -np.sign(d), np.int32))
-                    rests.append(rest[:k])
-                    size[i] += k
-                weights.append(all_)
-            row = np.repeat(np.arange(len(batch)), size)
-            flat = [np.concatenate(x) if x else np.zeros(0, t) for x, t in ((keys, np.int64), (sides, np.int32), (rests, np.float64))]
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([*map(pa.array, flat), pa.array(np.array(weights, np.float64)[row]), batch.column("node").take(at), batch.column("root").take(at)], names=["key", "side", "rest", "weight", "node", "root"])
+                rest = np.cumsum(w[order][::-1])[::-1]
+                weights[i], size[i] = w.sum(), np.searchsorted(-rest, -LEAST * w.sum() * SLACK, "right")
+                keys.append(ids[order[: size[i]]].astype(np.int64))
+                rests.append(rest[: size[i]])
+            at = np.repeat(np.arange(len(batch)), size)
+            rest, weight = np.concatenate(rests) if rests else np.zeros(0), weights[at]
+            short = rest >= 2 * LEAST / (1 + LEAST) * weight * SLACK
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), pa.array(short), pa.array(rest), pa.array(weight), *(batch.column(c).take(pa.array(at)) for c in ("node", "root"))], names=["key", "short", "rest", "weight", "node", "root"])
 
     return run
 
 
-NODE = "struct<a:long,b:long>"
+def _pairs_apart(split: DataFrame) -> DataFrame:
+    """u, v: of nodes (node, root, vector), every pair of different roots that can be a link."""
+    table = split.select("vector").mapInArrow(B.tidy(_shingle_counts), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(1 << 20, np.int64)
+    counts[table["slot"].to_numpy()] = table["n"].to_numpy()
+    keyed = checkpoint(split.mapInArrow(B.tidy(_prefixes(split.sparkSession.sparkContext.broadcast(counts))), "key long, short boolean, rest double, weight double, node long, root long"))
+    several = keyed.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.max("short").alias("s")).where("s and r1 != r2").select("key")
+    keyed = checkpoint(keyed.join(several, "key"))
+    meet = "x.key = y.key and x.root != y.root and (x.weight < y.weight or (x.weight = y.weight and x.node < y.node))"
+    enough = f"x.weight >= {LEAST * SLACK!r}D * y.weight and least(x.rest, y.rest) >= {LEAST / (1 + LEAST) * SLACK!r}D * (x.weight + y.weight)"
+    pairs = keyed.where("short").alias("x").join(keyed.alias("y"), F.expr(f"{meet} and {enough}"))
+    return pairs.select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v"))
 
 
 def classes(docs: DataFrame, text: str = "text") -> DataFrame:
-    """did, th, doc_id, class_id, class_size, kept and copies of each row of ``docs``.
+    """did, th, doc_id, class_id, class_size, kept and copies of each document (rows that repeat whole are one).
 
     ``class_id`` is the least doc_id of the class (null first); ``kept`` marks its first document by (doc_id, text hash);
-    ``copies`` is how many rows repeat this one whole, itself included.
+    ``copies`` is how many rows repeat this one whole, itself included; ``class_size`` counts rows.
     """
     spark = docs.sparkSession
     own = R.documents(docs, text).withColumns({"a": F.xxhash64("text"), "b": F.xxhash64(F.lit(1), "text")})
     idf = B.Shared(docs, word_idf(own))
-    signed = checkpoint(own.select("doc_id", "did", "th", "a", "b", "text").mapInArrow(B.tidy(_sign(idf)), "doc_id long, did long, th long, a long, b long, some boolean, bands array<long>"))
-    node = F.struct("a", "b").alias("node")
-    nodes = signed.where("some").groupBy(node).agg(F.min(F.struct("did", "th")).alias("first"), F.any_value("bands").alias("bands"))
-    members = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    signed = checkpoint(own.select("doc_id", "did", "th", "a", "b", "text").mapInArrow(B.tidy(_sign(idf)), "doc_id long, did long, th long, a long, b long, some boolean, " + ", ".join(f"{k} long" for k in KEYS)))
+    # a number for each text, fixed by the checkpoint
+    nodes = signed.where("some").groupBy("a", "b").agg(F.min("did").alias("did"), F.min_by("th", "did").alias("th"), F.count("*").alias("rows"), *(F.any_value(k).alias(k) for k in KEYS))
+    nodes = checkpoint(nodes.withColumn("node", F.monotonically_increasing_id()))
+    members = nodes.select("node", F.explode(F.array(*KEYS)).alias("key"))
     # a leader for each bucket, chosen by a hash that differs between bands
-    turn = F.struct(F.xxhash64("node", "band").alias("h"), "node")
-    buckets = members.groupBy("band", "key").agg(F.count("*").alias("n"), F.min(turn)["node"].alias("lead")).where("n > 1")
-    shared = checkpoint(members.join(buckets, ["band", "key"]))
-    few = shared.where(F.col("n") <= SMALL).groupBy("band", "key").agg(F.array_sort(F.collect_list("node")).alias("all"))
+    buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", "key")).alias("lead")).where("n > 1")
+    shared = checkpoint(members.join(buckets, "key"))
+    few = shared.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("all"))
     few = few.select(F.explode(F.flatten(F.transform("all", lambda x, i: F.transform(F.slice("all", i + 2, SMALL), lambda y: F.struct(x.alias("u"), y.alias("v")))))).alias("p")).select("p.u", "p.v")
     star = shared.where((F.col("n") > SMALL) & (F.col("node") != F.col("lead"))).select(F.least("node", "lead").alias("u"), F.greatest("node", "lead").alias("v"))
 
-    wanted = checkpoint(shared.select("node").distinct().join(nodes.select("node", "first"), "node").select("node", "first.did", "first.th"))
+    wanted = checkpoint(shared.select("node").distinct().join(nodes.select("node", "did", "th"), "node"))
     bits = spark.sparkContext.broadcast(R.bitmap(wanted))
     vectors = own.select("did", "th", "slot", "text").mapInArrow(B.tidy(_vectors(idf, bits)), "did long, th long, vector binary")
-    vectors = checkpoint(wanted.join(vectors, ["did", "th"]).dropDuplicates(["node"]).select("node", "vector"))
+    vectors = checkpoint(wanted.join(vectors, ["did", "th"]).groupBy("node").agg(F.first("vector").alias("vector")))
 
     def links(pairs: DataFrame) -> DataFrame:
         both = pairs.distinct().join(vectors.toDF("u", "x"), "u").join(vectors.toDF("v", "y"), "v").select("u", "v", "x", "y")
-        return checkpoint(both.mapInArrow(B.tidy(_verify), f"u {NODE}, v {NODE}, similarity double").where(F.col("similarity") >= LEAST).select("u", "v"))
+        return checkpoint(both.mapInArrow(B.tidy(_verify), "u long, v long, similarity double").where(F.col("similarity") >= LEAST).select("u", "v"))
 
     found = links(few.unionAll(star))
     roots = checkpoint(connected_components(found, "u", "v"))
-    # large buckets whose nodes aren't in one class yet
-    rest = shared.where(F.col("n") > SMALL).join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lead = rest.where(F.col("node") == F.col("lead")).select("band", "key", F.col("root").alias("lead_root"))
-    rest = rest.join(lead, ["band", "key"])
-    delegate = rest.where(F.col("root") == F.col("lead_root")).groupBy("band", "key").agg(F.max(turn)["node"].alias("d1"), F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node"))["node"].alias("d2"))
-    apart = rest.where(F.col("root") != F.col("lead_root")).join(delegate, ["band", "key"]).select("node", F.explode(F.array("d1", "d2")).alias("d")).select(F.least("node", "d").alias("u"), F.greatest("node", "d").alias("v")).where("u != v")
-    more = links(apart.join(found, ["u", "v"], "left_anti"))
-    if not more.isEmpty():
-        found = found.unionAll(more)
-        roots = checkpoint(connected_components(found, "u", "v"))
     # large buckets in several parts: all pairs that can be links
-    rest = shared.where(F.col("n") > SMALL).join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    parts = rest.groupBy("band", "key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("band", "key")
-    split = checkpoint(rest.join(parts, ["band", "key"]).select("node", "root").distinct().join(vectors, "node"))
+    rest = shared.where(F.col("n") > SMALL).select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    parts = rest.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("key")
+    split = checkpoint(rest.join(parts, "key").select("node", "root").distinct().join(vectors, "node"))
     if not split.isEmpty():
-        table = split.select("vector").mapInArrow(B.tidy(_shingle_counts), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-        counts = np.zeros(1 << 20, np.int64)
-        counts[table["slot"].to_numpy()] = table["n"].to_numpy()
-        keyed = checkpoint(split.mapInArrow(B.tidy(_prefixes(spark.sparkContext.broadcast(counts))), f"key long, side int, rest double, weight double, node {NODE}, root {NODE}"))
-        several = keyed.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("key")
-        keyed = checkpoint(keyed.join(several, "key"))
-        x, y = keyed.where("side <= 0").alias("x"), keyed.where("side >= 0").alias("y")
-        meet = "x.key = y.key and x.root != y.root and ((x.side < 0 and y.side > 0) or (x.side = 0 and y.side = 0 and x.node < y.node))"
-        enough = f"least(x.rest, y.rest) >= {LEAST / (1 + LEAST) * SLACK!r}D * (x.weight + y.weight)"
-        last = links(x.join(y, F.expr(f"{meet} and {enough}")).select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v")))
+        last = links(_pairs_apart(split))
         if not last.isEmpty():
             roots = checkpoint(connected_components(found.unionAll(last), "u", "v"))
 
-    alone = F.struct("did", "th").alias("root")  # of texts without words
-    placed = signed.select("doc_id", "did", "th", "some", node).join(roots, "node", "left").select("doc_id", "did", "th", F.when(F.col("some"), F.coalesce("root", "node")).alias("root"), F.when(~F.col("some"), F.struct("did", "th")).alias("alone"))
-    one = placed.groupBy("root", "alone").agg(F.min(F.struct("did", "th", "doc_id")).alias("head"), F.count("*").alias("class_size"))
-    each = placed.groupBy("did", "th", "root", "alone").agg(F.any_value("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    same = F.col("l.root").eqNullSafe(F.col("r.root")) & F.col("l.alone").eqNullSafe(F.col("r.alone"))
-    return each.alias("l").join(one.alias("r"), same).select("did", "th", "doc_id", F.col("head.doc_id").alias("class_id"), "class_size", ((F.col("head.did") == F.col("did")) & (F.col("head.th") == F.col("th"))).alias("kept"), "copies")
+    placed = nodes.select("a", "b", "node", "did", "th", "rows").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    heads = placed.groupBy("root").agg(F.min(F.struct("did", "th")).alias("head"), F.sum("rows").alias("class_size"))
+    placed = placed.join(heads, "root").select("a", "b", "head", "class_size")
+    each = signed.groupBy("did", "th").agg(*(F.any_value(c).alias(c) for c in ("doc_id", "some", "a", "b")), F.count("*").alias("copies"))
+    first = (F.col("head.did") == F.col("did")) & (F.col("head.th") == F.col("th"))
+    classed = each.where("some").join(placed, ["a", "b"]).select("did", "th", "doc_id", F.when(F.col("head.did") != R.LEAST, F.col("head.did")).alias("class_id"), "class_size", first.alias("kept"), "copies")
+    alone = each.where("not some").select("did", "th", "doc_id", F.col("doc_id").alias("class_id"), F.col("copies").alias("class_size"), F.lit(True).alias("kept"), "copies")
+    return classed.unionAll(alone)
 
 
 def report(docs: DataFrame) -> DataFrame:
