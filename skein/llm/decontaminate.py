@@ -6,10 +6,12 @@ words of an item, or the whole item if it is shorter; a document word inside any
 Each block of documents (a shard) is encoded by the words of the items, every other word being a separator that nothing
 matches. Suffixes too short for any window are left out, the rest are sorted by prefix doubling, and each suffix of each
 item is looked up by binary search: the range that starts with its window gives all occurrences, its neighbours in the
-order give the longest verbatim match.
+order give the longest verbatim match. Occurrences are handled as ranges of the order, never one by one for each item
+suffix, so the work follows the words of a shard and of the items, not the product of a very repetitive pair.
 
 The items are read in blocks of bounded size (``item_bytes``); each is broadcast and the documents are searched once for
 each. Null and empty texts have no words; rows that repeat each get their own result; a null item_id counts as ``""``.
+A shard is a block of rows or one very long row, which is held whole (some 100 bytes of memory a word).
 """
 
 from __future__ import annotations
@@ -91,15 +93,38 @@ def search(text: np.ndarray, order: np.ndarray, items: Items, size: np.ndarray,
     return out
 
 
-def common(text: np.ndarray, places: np.ndarray, items: Items, chunk: int = 4096) -> np.ndarray:
-    """Words that each item suffix has in common with the suffix at its place (-1: none)."""
-    out = np.zeros(len(places), np.int64)
-    for a in range(0, len(out), chunk):
-        q, p, width = items.start[a : a + chunk], places[a : a + chunk], items.left[a : a + chunk]
-        steps = np.arange(int(width.max(initial=1)))
-        same = (items.words[np.minimum(q[:, None] + steps, len(items.words) - 1)] == text[np.minimum(np.maximum(p, 0)[:, None] + steps, len(text) - 1)]) & (steps < width[:, None])
-        out[a : a + chunk] = np.where(p < 0, 0, np.cumprod(same, axis=1).sum(1))
-    return out
+class Longest:
+    """Longest common prefixes of item suffixes and document suffixes, by hashes of any number of words."""
+
+    def __init__(self, text: np.ndarray, items: Items, powers: B.Powers) -> None:
+        self.text, self.items = text, items
+        up, self.down = powers.upto(max(len(text), len(items.words)) + 1)
+        self.sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(B.mix(x.astype(np.uint64) + np.uint64(1)) * up[: len(x)])]) for x in (items.words, text)]
+
+    def common(self, which: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Words that item suffixes have in common with the text from ``place`` on, by bisection."""
+        q, (a, b) = self.items.start[which], self.sums
+        lo, hi = np.zeros(len(q), np.int64), np.minimum(self.items.left[which], len(self.text) - place)
+        while (live := np.flatnonzero(lo < hi)).size:
+            mid, x, y = (lo[live] + hi[live] + 1) // 2, q[live], place[live]
+            same = (a[x + mid] - a[x]) * self.down[x] == (b[y + mid] - b[y]) * self.down[y]
+            lo[live], hi[live] = np.where(same, mid, lo[live]), np.where(same, hi[live], mid - 1)
+        return lo
+
+    def find(self, which: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and length of a longest match of each item suffix: beside where it would stand in the order."""
+        lo, hi = np.zeros(len(which), np.int64), np.full(len(which), len(order), np.int64)
+        while (live := np.flatnonzero(lo < hi)).size:
+            mid = (lo[live] + hi[live]) // 2
+            place, own = order[mid], which[live]
+            n = self.common(own, place)
+            x = self.items.words[np.minimum(self.items.start[own] + n, len(self.items.words) - 1)]
+            y = self.text[np.minimum(place + n, len(self.text) - 1)]
+            less = (n < self.items.left[own]) & (y < x)
+            lo[live], hi[live] = np.where(less, mid + 1, lo[live]), np.where(less, hi[live], mid)
+        near = [order[np.clip(lo + k, 0, len(order) - 1)] for k in (-1, 0)]
+        same = [self.common(which, p) for p in near]
+        return np.where(same[0] >= same[1], near[0], near[1]), np.maximum(*same)
 
 
 def search_shard(buf: np.ndarray, at: np.ndarray, items: Items, powers: B.Powers) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, set[int], list[tuple]]]]:
@@ -139,27 +164,30 @@ def search_shard(buf: np.ndarray, at: np.ndarray, items: Items, powers: B.Powers
     some = np.flatnonzero(hi > lo)
     if not len(some):
         return n_words, found
-    n = (hi - lo)[some]
-    which = np.repeat(some, n)
-    place = back[order[np.repeat(lo[some], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]]
-    edge = np.zeros(len(s) + 1, np.int64)
-    np.add.at(edge, place, 1)
-    np.add.at(edge, place + items.size[which], -1)
+    # the widest window that starts at each place of the order: a difference array for each width, the widest last
+    width = np.zeros(len(order), np.int64)
+    for d in np.unique(items.size[some]):
+        own = some[items.size[some] == d]
+        step = np.bincount(lo[own], minlength=len(order) + 1) - np.bincount(hi[own], minlength=len(order) + 1)
+        width[np.cumsum(step[:-1]) > 0] = d
+    open_ = np.flatnonzero(width)
+    place = back[order[open_]]
+    edge = np.bincount(place, minlength=len(s) + 1) - np.bincount(place + width[open_], minlength=len(s) + 1)
     hit = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
     own = row[hit]
     cuts = np.flatnonzero(np.diff(own, prepend=-1))
     for a, b in zip(cuts, [*cuts[1:], len(own)], strict=True):
         found[int(own[a])] = (hit[a:b] - first[own[a]], set(), [])
-    pairs = np.unique(np.stack([row[place], items.row[which]], 1), axis=0)
-    for r, i in pairs:
-        found[int(r)][1].add(int(i))
-    whole = search(text, order, items, items.left, False)
-    near = np.stack([np.where(whole > 0, order[np.maximum(whole - 1, 0)], -1), np.where(whole < len(order), order[np.minimum(whole, len(order) - 1)], -1)])
-    same = np.stack([common(text, p, items) for p in near])
-    best = same.argmax(0)
-    for q in some:
-        p = back[near[best[q], q]]
-        found[int(row[p])][2].append((items.ids[items.row[q]], int(items.place[q]), int(p - first[row[p]]), int(same[best[q], q])))
+    # items of each distinct range; ranges nest only by width
+    ranges = np.unique(np.stack([lo[some], hi[some], items.row[some]], 1), axis=0)
+    cuts = np.flatnonzero(np.concatenate([[True], (ranges[1:, :2] != ranges[:-1, :2]).any(1)]))
+    for a, b in zip(cuts, [*cuts[1:], len(ranges)], strict=True):
+        for r in np.unique(row[back[order[ranges[a, 0] : ranges[a, 1]]]]):
+            found[int(r)][1].update(ranges[a:b, 2].tolist())
+    place, same = Longest(text, items, powers).find(some, order)
+    place = back[place]
+    for q, p, n in zip(some.tolist(), place.tolist(), same.tolist(), strict=True):
+        found[int(row[p])][2].append((items.ids[items.row[q]], int(items.place[q]), int(p - first[row[p]]), n))
     return n_words, found
 
 

@@ -71,3 +71,15 @@ def test_odd_rows(spark, odd, empty):
     kept = D.remove(odd, bench)
     assert kept.columns == odd.columns and kept.count() == odd.count() - 3
     assert D.report(empty, bench).count() == 0 and D.report(odd, bench.limit(0)).where("contaminated").count() == 0
+
+
+def test_repetitive(spark, documents):
+    """The work must not follow the product of equal words; small ones are compared with brute force."""
+    docs = [(1, "na " * 500), (2, "na " * 9 + "x " + "na " * 12 + "y"), (3, "ab na " * 40), (4, "na")]
+    items = [(1, "na " * 60), (2, "na na"), (3, "na ab " * 30), (4, "ab na x")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in D.report(documents(docs), bench).collect()}
+    assert got == brute(docs, items)
+    bench = spark.createDataFrame([(1, "na " * 5000)], "item_id long, text string")
+    row = D.find(documents([(1, "na " * 200_000)]), bench, ["doc_id"]).first()
+    assert row["n_hit"] == row["n_words"] == 200_000 and max(m["n_words"] for m in row["longest"]) == 5000
