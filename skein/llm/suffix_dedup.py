@@ -369,11 +369,11 @@ def remove_repeats(docs: DataFrame, part_bytes: int = 12 << 20, keep_text: bool
     packed = lambda bits, member: own.mapInArrow(B.tidy(_pack(bits, member)), packed_as)
 
     parsed = own.select("did", "th", "text").mapInArrow(B.tidy(_parse_rows(parts)), ROWS)
-    first = checkpoint(parsed.repartition(parts, "part").mapInArrow(B.tidy(_merge_phrases), ROWS))
+    first = checkpoint(parsed.repartitionById(parts, F.pmod("part", F.lit(parts)).cast("int")).mapInArrow(B.tidy(_merge_phrases), ROWS))
     resolve = first.where(F.col("kind") == RESOLVE)
     affected = spark.sparkContext.broadcast(R.bitmap(resolve))
     open_runs = packed(affected, True).join(runs(first, RESOLVE), ["did", "th"]).select("did", "th", "packed", "runs").mapInArrow(B.tidy(_resolve_rows(parts)), ROWS)
-    rest = open_runs.unionAll(first.where(F.col("kind") == STRINGS)).repartition(parts, "part").mapInArrow(B.tidy(_merge_rest), ROWS)
+    rest = open_runs.unionAll(first.where(F.col("kind") == STRINGS)).repartitionById(parts, F.pmod("part", F.lit(parts)).cast("int")).mapInArrow(B.tidy(_merge_rest), ROWS)
     removed = checkpoint(first.where(F.col("kind") == REMOVED).unionAll(rest))
     affected = spark.sparkContext.broadcast(R.bitmap(removed))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
