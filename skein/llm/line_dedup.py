@@ -1,20 +1,22 @@
 """Line dedup by a deletion-neighbourhood join.
 
-A line is dropped if a line that starts earlier in the corpus has the same words, or is at most one word edit (a word
-replaced, put in or left out) away. Words are separated by ASCII white space. Lines are judged on the input, so a line that
-is dropped itself still counts as the earlier one. Lines of fewer than ``EXACT_WORDS`` words stay; lines of fewer than
-``NEAR_WORDS`` words are compared for the same words only.
+A line is dropped if a line that starts earlier in the corpus has the same words, or is at most one edit (a symbol
+replaced, put in or left out) away. Words are separated by ASCII white space. The symbols of a line of ``NEAR_WORDS`` words or
+more are its words; those of a line of fewer words (short ones, and scripts without blanks) are its characters other than
+white space, and it needs ``NEAR_CHARS`` of them to be compared for an edit. Lines are judged on the input, so a line that is
+dropped itself still counts as the earlier one. Lines without words stay.
 
-*Candidates.* Of two lines one edit apart, the first halves of the shorter one's words agree or the second halves do. Each
+*Candidates.* Of two lines one edit apart, the first halves of the shorter one's symbols agree or the second halves do. Each
 line gives the hashes of both, for its own length and for one less; only lines that share one with a different line go on.
-*Variants.* Each candidate gives the hash of its words, and of its words without each one in turn. Lines that share a
-variant without the word at one place differ by that word; a line equal to another's variant lacks a word. The earliest
+*Variants.* Each candidate gives the hash of its symbols, and of its symbols without each one in turn. Lines that share a
+variant without the symbol at one place differ by that one; a line equal to another's variant lacks one. The earliest
 line of a variant and place stands for all, so no pairs are made within a group.
-*Verification.* The edit distance of each line and the earlier one is computed on the words. Lines with the same words are
+*Verification.* The edit distance of each line and the earlier one is computed on the symbols. Lines with the same words are
 told by two 64-bit hashes.
 
 Earlier is the smaller doc_id (null first), then the smaller hash of the text, then the smaller line number. Rows that
-repeat whole are one document and get one result; null text is empty and has no lines.
+repeat whole are one document and get one result; null text is empty and has no lines; an empty table gives none. A very
+long text is held whole in one task (some 60 bytes of memory a byte of it). Columns of ``docs`` may have any names.
 """
 
 from __future__ import annotations
@@ -33,47 +35,41 @@ from skein.session import checkpoint
 from . import _bytes as B
 from . import _records as R
 
-EXACT_WORDS, NEAR_WORDS = 5, 8
+NEAR_WORDS, NEAR_CHARS = 8, 20
 BLOCK, FLUSH = 1 << 20, 1_000_000
 ROWS = "kind int, part int, did long, th long, data binary"
 #: Rows for a part: lines, halves, variants. Rows for a document: dropped lines, candidates.
 LINES, HALVES, VARIANTS, DROPPED, CANDIDATES, CLAIMS = range(6)
 SECOND = np.uint64(0xD6E8FEB86659FD93)
-NEWLINE = np.ones(256, bool)
-NEWLINE[10] = False
+#: Sets hashes of characters apart from those of words.
+CHARS = np.uint64(0xA0761D6478BD642F)
 
 
-class Lines:
-    """Lines of a block of texts: row, number in the row, bytes, words."""
+class Symbols:
+    """The symbols of lines: where each line's first one is, how many it has, and hashes of any run of them."""
 
-    def __init__(self, buf: np.ndarray, at: np.ndarray, powers: B.Powers) -> None:
-        n = np.flatnonzero(buf == 10)
-        start = np.sort(np.concatenate([at[:-1][at[1:] > at[:-1]], n[~np.isin(n + 1, at)] + 1]))
-        self.row = np.searchsorted(at, start, "right") - 1
-        self.start, self.end = start, np.minimum(np.concatenate([start[1:], [len(buf)]]), at[self.row + 1])
-        first = np.searchsorted(self.row, np.arange(len(at) - 1))
-        self.number = np.arange(len(start)) - first[self.row]
-        s, e, _ = B.words(buf, at, B.SOLID_BYTE)
-        self.words = B.Spans(buf, powers).hash(s, e)
-        self.first = np.searchsorted(s, self.start)
-        self.n = np.searchsorted(s, self.end) - self.first
-        up, down = powers.upto(len(s) + 2)
-        self.down = down
-        self.sums, self.more = (np.concatenate([np.zeros(1, np.uint64), np.cumsum(w * up[: len(s)])]) for w in (self.words, B.mix(self.words ^ SECOND)))
+    def __init__(self, place: np.ndarray, value: np.ndarray, start: np.ndarray, end: np.ndarray, powers: B.Powers) -> None:
+        self.first = np.searchsorted(place, start)
+        self.n = np.searchsorted(place, end) - self.first
+        up, self.down = powers.upto(len(place) + 2)
+        self.sums, self.more = (np.concatenate([np.zeros(1, np.uint64), np.cumsum(w * up[: len(place)])]) for w in (value, B.mix(value ^ SECOND)))
 
     def hash(self, start: np.ndarray, n: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
         sums = self.sums if sums is None else sums
         return B.mix((sums[start + n] - sums[start]) * self.down[start] + n.astype(np.uint64) * SECOND)
 
+    def whole(self, line: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
+        return self.hash(self.first[line], self.n[line], sums)
+
     def without(self, line: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Hashes of the words of ``line`` without the one at ``place``."""
+        """Hashes of the symbols of ``line`` without the one at ``place``."""
         a, n = self.first[line], self.n[line]
         left, right = self.sums[a + place] - self.sums[a], self.sums[a + n] - self.sums[a + place + 1]
         return B.mix((left + right * self.down[1]) * self.down[a] + (n - 1).astype(np.uint64) * SECOND)
 
-    def halves(self, which: np.ndarray) -> list[np.ndarray]:
+    def halves(self, line: np.ndarray) -> list[np.ndarray]:
         """First and second half of each line, as of its length and of one less."""
-        a, n, out = self.first[which], self.n[which], []
+        a, n, out = self.first[line], self.n[line], []
         for m in (n, n - 1):
             p = m // 2
             for s, k, side in ((a, p, 1), (a + n - (m - p), m - p, 2)):
@@ -81,6 +77,32 @@ class Lines:
         return out
 
 
+class Lines:
+    """Lines of a block of texts: row, number in the row, bytes, words, and the characters of lines of few words."""
+
+    def __init__(self, buf: np.ndarray, at: np.ndarray, powers: B.Powers) -> None:
+        n = np.flatnonzero(buf == 10)
+        start = np.sort(np.concatenate([at[:-1][at[1:] > at[:-1]], n[~np.isin(n + 1, at)] + 1]))
+        self.row = np.searchsorted(at, start, "right") - 1
+        self.start, self.end = start, np.minimum(np.concatenate([start[1:], [len(buf)]]), at[self.row + 1])
+        self.number = np.arange(len(start)) - np.searchsorted(self.row, np.arange(len(at) - 1))[self.row]
+        spans = B.Spans(buf, powers)
+        s, e, _ = B.words(buf, at, B.SOLID_BYTE)
+        self.words = Symbols(s, spans.hash(s, e), self.start, self.end, powers)
+        few = np.flatnonzero((self.words.n > 0) & (self.words.n < NEAR_WORDS) & (self.end - self.start >= NEAR_CHARS))
+        step = np.zeros(len(buf) + 1, np.int8)
+        step[self.start[few]] += 1
+        step[self.end[few]] -= 1
+        c = np.flatnonzero((np.cumsum(step[:-1], dtype=np.int8) > 0) & ((buf & 0xC0) != 0x80) & B.SOLID_BYTE[buf])
+        wide = 1 + sum((buf[c] >= x).astype(np.int64) for x in (0xC0, 0xE0, 0xF0))
+        self.chars = Symbols(c, spans.hash(c, np.minimum(c + wide, len(buf))) ^ CHARS, self.start, self.end, powers)
+
+    def near(self) -> list[tuple[Symbols, np.ndarray]]:
+        """Symbols, and the lines that are compared by them."""
+        long = self.words.n >= NEAR_WORDS
+        return [(self.words, np.flatnonzero(long)), (self.chars, np.flatnonzero(~long & (self.chars.n >= NEAR_CHARS)))]
+
+
 def _batches(rows: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) if rows else [()] * 5
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["kind", "part", "did", "th", "data"])
@@ -133,16 +155,17 @@ def _line_rows(parts: int):
             did, th = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("did", "th"))
             for i, j in B.blocks(at, BLOCK):
                 x = Lines(buf[at[i] : at[j]], at[i : j + 1] - at[i], powers)
-                whole = np.flatnonzero(x.n >= EXACT_WORDS)
+                whole = np.flatnonzero(x.words.n)
                 if not len(whole):
                     continue
-                h = x.hash(x.first, x.n)
                 place = lambda w, x=x, i=i, j=j: (did[i:j][x.row[w]], th[i:j][x.row[w]], x.number[w].astype(np.uint32))
-                lines.append(R.Records(h[whole], x.hash(x.first[whole], x.n[whole], x.more), *place(whole)))
-                near = np.flatnonzero(x.n >= NEAR_WORDS)
-                if len(near):
-                    halves += [R.Records(k, h[near], *place(near)) for k in x.halves(near)]
-                held += len(whole) + 4 * len(near)
+                lines.append(R.Records(x.words.whole(whole), x.words.whole(whole, x.words.more), *place(whole)))
+                held += len(whole)
+                for symbols, near in x.near():
+                    if len(near):
+                        h = symbols.whole(near)
+                        halves += [R.Records(k, h, *place(near)) for k in symbols.halves(near)]
+                        held += 4 * len(near)
                 if held > FLUSH:
                     yield settle(lines, halves)
                     lines, halves, held = [], [], 0
@@ -230,11 +253,15 @@ def _variant_rows(parts: int):
                 x = Lines(raw, np.array([0, len(raw)]), powers)
                 own = np.unique(np.concatenate([np.frombuffer(p, np.uint32) for p in lines.as_py()])).astype(np.int64)
                 texts += [(did, th, int(k), raw[x.start[k] : x.end[k]].tobytes().decode("utf-8", "replace")) for k in own]
-                line = np.repeat(own, x.n[own])
-                place = np.arange(len(line)) - np.repeat(np.cumsum(x.n[own]) - x.n[own], x.n[own])
-                line, v, place = np.concatenate([own, line]), np.concatenate([x.hash(x.first[own], x.n[own]), x.without(line, place)]), np.concatenate([np.full(len(own), -1), place])
-                held.append(R.Records(v, place.astype(np.int32), np.full(len(v), did, np.int64), np.full(len(v), th, np.int64), line.astype(np.uint32)))
-                n += len(v)
+                for symbols, near in x.near():
+                    some = near[np.isin(near, own)]
+                    size = symbols.n[some]
+                    line = np.repeat(some, size)
+                    place = np.arange(len(line)) - np.repeat(np.cumsum(size) - size, size)
+                    v = np.concatenate([symbols.whole(some), symbols.without(line, place)])
+                    line, place = np.concatenate([some, line]), np.concatenate([np.full(len(some), -1), place])
+                    held.append(R.Records(v, place.astype(np.int32), np.full(len(v), did, np.int64), np.full(len(v), th, np.int64), line.astype(np.uint32)))
+                    n += len(v)
                 if n > FLUSH:
                     yield from settle()
                     held, n = [], 0
@@ -256,8 +283,14 @@ def _merge_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield _claim_batch(claims=_claims(R.Records.join(held))[1])
 
 
-def one_edit(a: list, b: list) -> bool:
-    """Whether two lists of words are at most one edit apart."""
+def symbols_of(line: str) -> list[bytes] | str:
+    """What edits of a line are counted in."""
+    words = line.encode().split()
+    return words if len(words) >= NEAR_WORDS else b"".join(words).decode()
+
+
+def one_edit(a: list | str, b: list | str) -> bool:
+    """Whether two sequences are at most one edit apart."""
     if abs(len(a) - len(b)) > 1:
         return False
     n = min(len(a), len(b))
@@ -268,7 +301,7 @@ def one_edit(a: list, b: list) -> bool:
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ok = [one_edit(a.encode().split(), b.encode().split()) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
+        ok = [one_edit(symbols_of(a), symbols_of(b)) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
         rows = batch.filter(pa.array(ok, pa.bool_()))
         yield _batches([(DROPPED, 0, d, t, np.uint32(k).tobytes()) for d, t, k in zip(*(rows.column(c).to_pylist() for c in ("did", "th", "line")), strict=True)])
 
@@ -308,7 +341,7 @@ def drop_lines(docs: DataFrame, text: str = "text", part_bytes: int = 12 << 20)
     own = R.documents(docs, text)
     size = own.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     parts = max(1, -(-size // part_bytes))
-    first = checkpoint(own.select("did", "th", "text").mapInArrow(B.tidy(_line_rows(parts)), ROWS).repartition(parts, "part").mapInArrow(B.tidy(_merge_lines), ROWS))
+    first = checkpoint(own.select("did", "th", "text").mapInArrow(B.tidy(_line_rows(parts)), ROWS).repartitionById(parts, F.pmod("part", F.lit(parts)).cast("int")).mapInArrow(B.tidy(_merge_lines), ROWS))
     lists = lambda df, kind: df.where(F.col("kind") == kind).groupBy("did", "th").agg(F.collect_list("data").alias("lines"))
 
     slots = own.select(F.col("did").alias("__did"), F.col("th").alias("__th"), F.col("text").alias("__text"), F.col("slot").alias("__slot"))
@@ -316,7 +349,7 @@ def drop_lines(docs: DataFrame, text: str = "text", part_bytes: int = 12 << 20)
     bits = spark.sparkContext.broadcast(R.bitmap(candidates))
     packed = slots.mapInArrow(B.tidy(_pack(bits, True, ["__did", "__th"])), "__did long, __th long, __packed binary").toDF("did", "th", "packed")
     variants = packed.join(lists(first, CANDIDATES), ["did", "th"]).mapInArrow(B.tidy(_variant_rows(parts)), CLAIM)
-    found = checkpoint(variants.repartition(parts, F.when(F.col("kind") == VARIANTS, F.col("part")).otherwise(F.xxhash64("did", "th", "line"))).mapInArrow(B.tidy(_merge_variants), CLAIM))
+    found = checkpoint(variants.repartitionById(parts, F.pmod(F.when(F.col("kind") == VARIANTS, F.col("part").cast("long")).otherwise(F.xxhash64("did", "th", "line")), F.lit(parts)).cast("int")).mapInArrow(B.tidy(_merge_variants), CLAIM))
     where = lambda d, t, k: F.struct(F.col(d), F.col(t), F.col(k))
     lines = found.where(F.col("kind") == LINES).groupBy("did", "th", "line").agg(F.first("text").alias("text"))
     claims = found.where(F.col("kind") == CLAIMS).select("did", "th", "line", "edid", "eth", "eline").distinct()

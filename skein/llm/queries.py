@@ -84,12 +84,17 @@ ORACLES: dict[str, str] = {
 with t as (select doc_id, coalesce(text, '') as text, case when coalesce(text, '') = '' then [] else string_split(text, chr(10)) end as ls from documents),
 l as (select *, row_number() over (order by doc_id, k) as r from (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as k from t) x),
 w as (select *, list_filter(string_split_regex(line, '[ \t\n\r\x0b\f]+'), lambda x: x <> '') as ws from l),
-s as (select *, len(ws) as n, array_to_string(ws, ' ') as same from w),
-f as (select same, any_value(ws) as ws, any_value(n) as n, min(r) as r from s group by same),
+s as (select *, len(ws) as n, array_to_string(ws, ' ') as same, array_to_string(ws, '') as cs from w),
+f as (select same, any_value(ws) as ws, any_value(n) as n, any_value(cs) as cs, min(r) as r from s group by same),
 v as (select r, i, array_to_string(list_concat(ws[:i - 1], ws[i + 1:]), ' ') as d from (select r, ws, unnest(range(1, n + 1)) as i from f where n >= 8) y),
+c as (select cs, r from f where n < 8 and length(cs) >= 20),
+x as (select r, i, substring(cs, 1, i - 1) || substring(cs, i + 1) as d from (select r, cs, unnest(range(1, length(cs) + 1)) as i from c) y),
 near as (select r from (select r, min(r) over (partition by i, d) as least from v) z where r > least
-  union select greatest(f.r, v.r) from f join v on f.same = v.d and f.n >= 8),
-gone as (select s.r from s join f on s.same = f.same where s.n >= 5 and (s.r > f.r or s.r in (select r from near)))
+  union select greatest(f.r, v.r) from f join v on f.same = v.d and f.n >= 8
+  union select r from (select r, min(r) over (partition by i, d) as least from x) z where r > least
+  union select r from (select r, min(r) over (partition by cs) as least from c) z where r > least
+  union select greatest(c.r, x.r) from c join x on c.cs = x.d),
+gone as (select s.r from s join f on s.same = f.same where s.n >= 1 and (s.r > f.r or s.r in (select r from near)))
 select t.doc_id, len(t.ls) as n_lines, count(gone.r) as n_dropped, coalesce(string_agg(l.line, chr(10) order by l.k) filter (where gone.r is null), '') as text
 from t left join l on t.doc_id = l.doc_id left join gone on l.r = gone.r group by t.doc_id, t.ls""",
     "op8_decontamination": f"""
