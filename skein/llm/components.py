@@ -19,11 +19,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
     for _ in range(most_rounds):
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         # small star: all edges point to the smaller node now
         low = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = low.groupBy("u").agg(F.min("v").alias("m"))
-        small = low.join(least, "u").select(F.col("v").alias("u"), "m").unionAll(least.select("u", "m"))
+        small = low.join(least.hint("merge"), "u").select(F.col("v").alias("u"), "m").unionAll(least.select("u", "m"))
         e = checkpoint(small.where("u != m").select(F.col("m").alias("u"), F.col("u").alias("v")).distinct())
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == now:

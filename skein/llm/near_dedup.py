@@ -100,8 +100,8 @@ def word_idf(texts: DataFrame) -> Idf:
     """From all of ``texts`` (text); only the words beyond the floor come to the driver."""
     docs = texts.count()
     least = max(2, int(np.ceil(DF_FLOOR * docs)))
-    counts = texts.select("text").mapInArrow(B.tidy(_word_counts), "word long, n long").groupBy(F.shiftrightunsigned("word", int(Idf.BITS)).alias("word")).agg(F.sum("n").alias("n")).where(F.col("n") >= least).toPandas()
-    return Idf(counts["word"].to_numpy(np.uint64), counts["n"].to_numpy(np.int64), docs)
+    counts = texts.select("text").mapInArrow(B.tidy(_word_counts), "word long, n long").groupBy(F.shiftrightunsigned("word", int(Idf.BITS)).alias("word")).agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
+    return Idf(counts.column("word").to_numpy().astype(np.uint64), counts.column("n").to_numpy(), docs)
 
 
 def shingles(buf: np.ndarray, at: np.ndarray, idf: Idf, powers: B.Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -262,15 +262,15 @@ def _prefixes(counts):
 
 def _pairs_apart(split: DataFrame) -> DataFrame:
     """u, v: of nodes (node, root, vector), every pair of different roots that can be a link."""
-    table = split.select("vector").mapInArrow(B.tidy(_shingle_counts), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    table = split.select("vector").mapInArrow(B.tidy(_shingle_counts), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(1 << 20, np.int64)
-    counts[table["slot"].to_numpy()] = table["n"].to_numpy()
+    counts[table.column("slot").to_numpy()] = table.column("n").to_numpy()
     keyed = checkpoint(split.mapInArrow(B.tidy(_prefixes(split.sparkSession.sparkContext.broadcast(counts))), "key long, short boolean, rest double, weight double, node long, root long"))
     several = keyed.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.max("short").alias("s")).where("s and r1 != r2").select("key")
-    keyed = checkpoint(keyed.join(several, "key"))
+    keyed = checkpoint(keyed.join(several.hint("merge"), "key"))
     meet = "x.key = y.key and x.root != y.root and (x.weight < y.weight or (x.weight = y.weight and x.node < y.node))"
     enough = f"x.weight >= {LEAST * SLACK!r}D * y.weight and least(x.rest, y.rest) >= {LEAST / (1 + LEAST) * SLACK!r}D * (x.weight + y.weight)"
-    pairs = keyed.where("short").alias("x").join(keyed.alias("y"), F.expr(f"{meet} and {enough}"))
+    pairs = keyed.where("short").alias("x").join(keyed.alias("y").hint("merge"), F.expr(f"{meet} and {enough}"))
     return pairs.select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v"))
 
 
@@ -280,6 +280,7 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     ``class_id`` is the least doc_id of the class (null first); ``kept`` marks its first document by (doc_id, text hash);
     ``copies`` is how many rows repeat this one whole, itself included; ``class_size`` counts rows.
     """
+    # joins of tables that grow with the input are merges throughout: nothing of them passes through the driver
     spark = docs.sparkSession
     own = R.documents(docs, text).withColumns({"a": F.xxhash64("text"), "b": F.xxhash64(F.lit(1), "text")})
     idf = B.Shared(docs, word_idf(own))
@@ -290,37 +291,37 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     members = nodes.select("node", F.explode(F.array(*KEYS)).alias("key"))
     # a leader for each bucket, chosen by a hash that differs between bands
     buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", "key")).alias("lead")).where("n > 1")
-    shared = checkpoint(members.join(buckets, "key"))
+    shared = checkpoint(members.join(buckets.hint("merge"), "key"))
     few = shared.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("all"))
     few = few.select(F.explode(F.flatten(F.transform("all", lambda x, i: F.transform(F.slice("all", i + 2, SMALL), lambda y: F.struct(x.alias("u"), y.alias("v")))))).alias("p")).select("p.u", "p.v")
     star = shared.where((F.col("n") > SMALL) & (F.col("node") != F.col("lead"))).select(F.least("node", "lead").alias("u"), F.greatest("node", "lead").alias("v"))
 
-    wanted = checkpoint(shared.select("node").distinct().join(nodes.select("node", "did", "th"), "node"))
+    wanted = checkpoint(shared.select("node").distinct().join(nodes.select("node", "did", "th").hint("merge"), "node"))
     bits = spark.sparkContext.broadcast(R.bitmap(wanted))
     vectors = own.select("did", "th", "slot", "text").mapInArrow(B.tidy(_vectors(idf, bits)), "did long, th long, vector binary")
-    vectors = checkpoint(wanted.join(vectors, ["did", "th"]).groupBy("node").agg(F.first("vector").alias("vector")))
+    vectors = checkpoint(wanted.join(vectors.hint("merge"), ["did", "th"]).groupBy("node").agg(F.first("vector").alias("vector")))
 
     def links(pairs: DataFrame) -> DataFrame:
-        both = pairs.distinct().join(vectors.toDF("u", "x"), "u").join(vectors.toDF("v", "y"), "v").select("u", "v", "x", "y")
+        both = pairs.distinct().join(vectors.toDF("u", "x").hint("merge"), "u").join(vectors.toDF("v", "y").hint("merge"), "v").select("u", "v", "x", "y")
         return checkpoint(both.mapInArrow(B.tidy(_verify), "u long, v long, similarity double").where(F.col("similarity") >= LEAST).select("u", "v"))
 
     found = links(few.unionAll(star))
     roots = checkpoint(connected_components(found, "u", "v"))
     # large buckets in several parts: all pairs that can be links
-    rest = shared.where(F.col("n") > SMALL).select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = shared.where(F.col("n") > SMALL).select("key", "node").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     parts = rest.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("key")
-    split = checkpoint(rest.join(parts, "key").select("node", "root").distinct().join(vectors, "node"))
+    split = checkpoint(rest.join(parts.hint("merge"), "key").select("node", "root").distinct().join(vectors.hint("merge"), "node"))
     if not split.isEmpty():
         last = links(_pairs_apart(split))
         if not last.isEmpty():
             roots = checkpoint(connected_components(found.unionAll(last), "u", "v"))
 
-    placed = nodes.select("a", "b", "node", "did", "th", "rows").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = nodes.select("a", "b", "node", "did", "th", "rows").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     heads = placed.groupBy("root").agg(F.min(F.struct("did", "th")).alias("head"), F.sum("rows").alias("class_size"))
-    placed = placed.join(heads, "root").select("a", "b", "head", "class_size")
+    placed = placed.join(heads.hint("merge"), "root").select("a", "b", "head", "class_size")
     each = signed.groupBy("did", "th").agg(*(F.any_value(c).alias(c) for c in ("doc_id", "some", "a", "b")), F.count("*").alias("copies"))
     first = (F.col("head.did") == F.col("did")) & (F.col("head.th") == F.col("th"))
-    classed = each.where("some").join(placed, ["a", "b"]).select("did", "th", "doc_id", F.when(F.col("head.did") != R.LEAST, F.col("head.did")).alias("class_id"), "class_size", first.alias("kept"), "copies")
+    classed = each.where("some").join(placed.hint("merge"), ["a", "b"]).select("did", "th", "doc_id", F.when(F.col("head.did") != R.LEAST, F.col("head.did")).alias("class_id"), "class_size", first.alias("kept"), "copies")
     alone = each.where("not some").select("did", "th", "doc_id", F.col("doc_id").alias("class_id"), F.col("copies").alias("class_size"), F.lit(True).alias("kept"), "copies")
     return classed.unionAll(alone)
 
