@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from skein.session import checkpoint
 
 
+#: Edges of a written partition: rounds on few edges shouldn't write a file for each partition of a shuffle.
+PARTITION_ROWS = 500_000
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 50) -> DataFrame:
-    """node, root for every node of ``edges``; the root is the least node of its component.
+    """node, root for every node of ``edges`` (a written table); the root is the least node of its component.
 
     A step sums over the neighbours of a node before it joins the sum back, so a node with very many neighbours is one key
     of a join that Spark can split, never one task's list.
     """
-    e = checkpoint(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u != v").distinct())
+    parts = max(1, -(-edges.count() // PARTITION_ROWS))  # the number of edges never grows
+    e = checkpoint(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u != v").distinct().coalesce(parts))
     state = None
     for _ in range(most_rounds):
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -24,7 +29,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         low = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = low.groupBy("u").agg(F.min("v").alias("m"))
         small = low.join(least.hint("merge"), "u").select(F.col("v").alias("u"), "m").unionAll(least.select("u", "m"))
-        e = checkpoint(small.where("u != m").select(F.col("m").alias("u"), F.col("u").alias("v")).distinct())
+        e = checkpoint(small.where("u != m").select(F.col("m").alias("u"), F.col("u").alias("v")).distinct().coalesce(parts))
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == now:
             break

@@ -227,7 +227,7 @@ def _shingle_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         for x in batch.column("vector"):
             raw = x.as_py()
-            n += np.bincount(_shingle(np.frombuffer(raw, np.uint32, len(raw) // WIDTH)), minlength=len(n))
+            np.add.at(n, _shingle(np.frombuffer(raw, np.uint32, len(raw) // WIDTH)), 1)
     some = np.flatnonzero(n)
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["slot", "n"])
 
@@ -267,7 +267,7 @@ def _pairs_apart(split: DataFrame) -> DataFrame:
     counts[table.column("slot").to_numpy()] = table.column("n").to_numpy()
     keyed = checkpoint(split.mapInArrow(B.tidy(_prefixes(split.sparkSession.sparkContext.broadcast(counts))), "key long, short boolean, rest double, weight double, node long, root long"))
     several = keyed.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.max("short").alias("s")).where("s and r1 != r2").select("key")
-    keyed = checkpoint(keyed.join(several.hint("merge"), "key"))
+    keyed = keyed.join(several.hint("merge"), "key")
     meet = "x.key = y.key and x.root != y.root and (x.weight < y.weight or (x.weight = y.weight and x.node < y.node))"
     enough = f"x.weight >= {LEAST * SLACK!r}D * y.weight and least(x.rest, y.rest) >= {LEAST / (1 + LEAST) * SLACK!r}D * (x.weight + y.weight)"
     pairs = keyed.where("short").alias("x").join(keyed.alias("y").hint("merge"), F.expr(f"{meet} and {enough}"))
@@ -296,7 +296,7 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     few = few.select(F.explode(F.flatten(F.transform("all", lambda x, i: F.transform(F.slice("all", i + 2, SMALL), lambda y: F.struct(x.alias("u"), y.alias("v")))))).alias("p")).select("p.u", "p.v")
     star = shared.where((F.col("n") > SMALL) & (F.col("node") != F.col("lead"))).select(F.least("node", "lead").alias("u"), F.greatest("node", "lead").alias("v"))
 
-    wanted = checkpoint(shared.select("node").distinct().join(nodes.select("node", "did", "th").hint("merge"), "node"))
+    wanted = shared.select("node").distinct().join(nodes.select("node", "did", "th").hint("merge"), "node")
     bits = spark.sparkContext.broadcast(R.bitmap(wanted))
     vectors = own.select("did", "th", "slot", "text").mapInArrow(B.tidy(_vectors(idf, bits)), "did long, th long, vector binary")
     vectors = checkpoint(wanted.join(vectors.hint("merge"), ["did", "th"]).groupBy("node").agg(F.first("vector").alias("vector")))
@@ -306,7 +306,7 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
         return checkpoint(both.mapInArrow(B.tidy(_verify), "u long, v long, similarity double").where(F.col("similarity") >= LEAST).select("u", "v"))
 
     found = links(few.unionAll(star))
-    roots = checkpoint(connected_components(found, "u", "v"))
+    roots = connected_components(found, "u", "v")
     # large buckets in several parts: all pairs that can be links
     rest = shared.where(F.col("n") > SMALL).select("key", "node").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     parts = rest.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("key")
@@ -314,7 +314,7 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     if not split.isEmpty():
         last = links(_pairs_apart(split))
         if not last.isEmpty():
-            roots = checkpoint(connected_components(found.unionAll(last), "u", "v"))
+            roots = connected_components(found.unionAll(last), "u", "v")
 
     placed = nodes.select("a", "b", "node", "did", "th", "rows").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     heads = placed.groupBy("root").agg(F.min(F.struct("did", "th")).alias("head"), F.sum("rows").alias("class_size"))
