@@ -1,6 +1,8 @@
 """Secret scans: fixed rules, and character Markov models of random strings against ordinary identifiers.
 
-DataFrame functions only. Spans count code points, the end is exclusive.
+DataFrame functions only. Spans count code points, the end is exclusive. Null text is empty; each row is judged by itself, so
+rows that repeat give equal results, and an empty table gives none. The work follows the length of a text and its matches
+(blocks of matches are summed first). A text is one value: Spark holds it and its pieces in memory.
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._matches import blanked, places
+
 # Fixed rules: (kind, pattern, group that is measured, least length of it). The lower bounds of the last two are in the
 # pattern, which there finds the same maximal runs as the open pattern followed by a test of their length.
 RULES = (
@@ -18,35 +22,22 @@ RULES = (
     ("access", r"AKIA[A-Z0-9]{12,}", 0, 16),
     ("hex", r"[0-9a-f]{32,}", 0, 32),
 )
-#: What the models judge: maximal runs of 20 characters or more.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: What the models judge: maximal runs of 16 characters or more, in the text without what the fixed rules found.
+CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 #: What counts as an ordinary identifier in training: a run of letters, digits and joints with a vowel and at most two digits.
 IDENTIFIER = r"[A-Za-z0-9_-]{4,}"
+#: Distinct characters of a random string, at least (a ruler of one sign is none).
+DISTINCT = 6
 SYMBOLS = 128
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: Pseudo-counts: of each second character, and of a first character's pairs.
-RARE, LEAN = 1.0, 20.0
+#: The share of all characters alike in a second character's probability, and the pseudo-count of a first character's pairs.
+ALIKE, LEAN = 0.001, 20.0
 
 
 def _spans(text: Column, kind: str, rank: int, pattern: str, group: int, least: int) -> Column:
-    """array<struct<start, rank, kind, end, value>> of the leftmost non-overlapping matches.
-
-    The text between matches, from split(), gives their places: cumulated lengths, all in one pass over the array.
-    """
-    p = F.lit(pattern)
-    whole, measured = F.regexp_extract_all(text, p, F.lit(0)), F.regexp_extract_all(text, p, F.lit(group))
-    parts = F.zip_with(F.zip_with(F.split(text, pattern, -1), whole, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("m"))), measured, lambda x, v: F.struct(x["gap"].alias("gap"), x["m"].alias("m"), v.alias("v")))
-    none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,value:string>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["m"])
-        found = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"), x["v"].alias("value"))
-        keep = x["m"].isNotNull() & (F.length(x["v"]) >= least)
-        return F.struct(F.coalesce(end, start).alias("at"), F.when(keep, F.concat(acc["out"], F.array(found))).otherwise(acc["out"]).alias("out"))
-
-    found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), found).otherwise(none)
+    """array<struct<start, rank, kind, end, value>> of the leftmost non-overlapping matches."""
+    long = F.filter(places(text, pattern, group), lambda x: F.length(x["v"]) >= least)
+    return F.transform(long, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), x["end"].alias("end"), x["v"].alias("value")))
 
 
 def _pairs(df: DataFrame, token: str, label: str) -> DataFrame:
@@ -90,9 +81,9 @@ def train(samples: DataFrame) -> list[float]:
     logs = {}
     for kind, t in table.items():
         first = {a: sum(t.get(a * SYMBOLS + b, 0) for b in used) for a in used}
-        second = {b: sum(t.get(a * SYMBOLS + b, 0) for a in used) + RARE for b in used}
-        every = sum(second.values())
-        logs[kind] = {a * SYMBOLS + b: log((t.get(a * SYMBOLS + b, 0) + LEAN * second[b] / every) / (first[a] + LEAN)) for a in used for b in used}
+        every = max(1, sum(first.values()))
+        second = {b: (1 - ALIKE) * sum(t.get(a * SYMBOLS + b, 0) for a in used) / every + ALIKE / len(used) for b in used}
+        logs[kind] = {a * SYMBOLS + b: log((t.get(a * SYMBOLS + b, 0) + LEAN * second[b]) / (first[a] + LEAN)) for a in used for b in used}
     out = [0.0] * (SYMBOLS * SYMBOLS)
     for p, x in logs["random"].items():
         out[p] = x - logs["plain"][p]
@@ -110,16 +101,17 @@ def score(token: Column, model: list[float]) -> Column:
 def scan(docs: DataFrame, model: list[float], text: str = "text", out: str = "found", least_score: float = 13.8) -> DataFrame:
     """Adds ``out``: array of (start, rank, kind, end, value) by start, then kind as listed; null text has no spans.
 
-    A candidate run is added as kind ``markov`` where the models' log-likelihood ratio is at least ``least_score``
-    (odds of a million to one) and no span of a fixed rule touches it. Rows and columns stay as they are.
+    A run that is left when the spans of the fixed rules are blanked out is added as kind ``markov`` where the models'
+    log-likelihood ratio is at least ``least_score`` (odds of a million to one) and it has ``DISTINCT`` different characters. Rows and columns stay as they are.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     base = reduce(lambda a, b: F.concat(a, b), (_spans(t, k, i, p, g, n) for i, (k, p, g, n) in enumerate(RULES)))
-    base_name, more_name = f"__{out}_base", f"__{out}_more"
-    df = docs.withColumn(base_name, base).withColumn(more_name, _spans(t, "markov", len(RULES), CANDIDATE, 0, 20))
-    clear = F.filter(F.col(more_name), lambda s: ~F.exists(F.col(base_name), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    judged = F.filter(clear, lambda s: score(s["value"], model) >= least_score)
-    return df.withColumn(out, F.array_sort(F.concat(F.col(base_name), judged))).drop(base_name, more_name)
+    base_name, rest_name = f"__{out}_base", f"__{out}_rest"
+    df = docs.withColumns({base_name: base, rest_name: t})
+    for _, pattern, group, least in RULES:
+        df = df.withColumn(rest_name, blanked(F.col(rest_name), pattern, group, least))
+    judged = F.filter(_spans(F.col(rest_name), "markov", len(RULES), CANDIDATE, 0, 16), lambda s: (F.size(F.array_distinct(F.split(s["value"], ""))) >= DISTINCT) & (score(s["value"], model) >= least_score))
+    return df.withColumn(out, F.array_sort(F.concat(F.col(base_name), judged))).drop(base_name, rest_name)
 
 
 def digest(found: Column) -> Column:

@@ -47,3 +47,40 @@ def test_scan_keeps_rows_and_columns(odd):
 def test_no_python(documents):
     plan = secrets.scan_report(documents(CASES))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_rulers_and_words_are_no_secrets(documents):
+    rows = [(i, f"above\n{c * 40}\nbelow some-ordinary_identifier_of_a_program and internationalisationalities") for i, c in enumerate("=-_+/")] + [(9, "the and that with this from have which there would " * 40)]
+    assert {r["doc_id"]: r["spans"] for r in secrets.scan_report(documents(rows)).collect()} == {i: "" for i, _ in rows}
+
+
+def test_rest_of_a_run_beside_a_rule(documents):
+    """What is left of a run beside a span of a fixed rule is judged, too; base spans stay."""
+    text = "password=abcdefgh.9fQ2xZ7LkV0p 9fQ2xZ7LkV0pTtR4bNw8|" + "0123456789abcdef" * 2 + "Zq9fQ2xZ7LkV0pTtR4bNw8"
+    row = secrets.scan_report(documents([(1, text), (2, "the and that with this from have which there would " * 40)])).where("doc_id = 1").first()
+    hex_at = text.index("|") + 1
+    assert row["spans"] == f"assign:0:30,markov:31:51,hex:{hex_at}:{hex_at + 32},markov:{hex_at + 32}:{len(text)}"
+
+
+def test_many_matches(documents):
+    """The work must not follow the square of the matches."""
+    text = "token=abcdefgh1 " * 16_000 + "é 9fQ2xZ7LkV0pTtR4bNw8YcJ6hGd1"
+    rows = {r["doc_id"]: r for r in secrets.scan_report(documents([(1, text), (2, "the and that with this from have which there would " * 40)])).collect()}
+    assert rows[1]["n_assign"] == 16_000 and rows[1]["spans"].endswith(f"assign:{15_999 * 16}:{15_999 * 16 + 15},markov:{16_000 * 16 + 2}:{len(text)}")
+
+
+def test_models_on_held_out_strings(spark):
+    """Trained on four fifths of the labelled strings, judged on the rest."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    fold = F.pmod(F.xxhash64("token"), F.lit(5))
+    samples = secrets.labelled(docs).distinct().withColumn("fold", fold)
+    model = secrets.train(samples.where("fold > 0").drop("fold"))
+    held = samples.where("fold = 0 and (random or length(token) >= 8)").withColumn("token", F.expr("if(random, token, concat_ws('_', token, token))"))
+    judged = held.where("length(token) >= 16").select("random", (secrets.score(F.col("token"), model) >= 13.8).alias("found"))
+    n = {(r["random"], r["found"]): r["count"] for r in judged.groupBy("random", "found").count().collect()}
+    recall = n[True, True] / (n[True, True] + n.get((True, False), 0))
+    precision = n[True, True] / (n[True, True] + n.get((False, True), 0))
+    assert sum(c for (r, _), c in n.items() if not r) >= 300
+    assert recall >= 0.97 and precision >= 0.99, n
