@@ -18,7 +18,7 @@ def test_edits_count_as_whole_texts(text, edits):
         want = d.text[: min(at, len(d.text))] + new + d.text[min(at, len(d.text)) + n :]
         d.edit(at, at + n, new)
         assert d.text == want and d.tree.total == len(COUNTER.encoding.encode_ordinary(want))
-        assert int(d.tree.chars[1]) == len(want) and sum(sum(t) for _, t in d.tree.leaves) == d.tree.total
+        assert int(d.tree.chars[1]) == len(want) and sum(sum(t) for _, _, t in d.tree.leaves) == d.tree.total and K.Tree.unpack(want, d.tree.pack()).text == want
 
 
 def test_a_small_edit_reencodes_little():
@@ -48,3 +48,26 @@ def test_edits_table(spark, documents):
     whole = lambda t: len(COUNTER.encoding.encode_ordinary(t))
     assert rows[1]["n_tokens_after"] == whole("Qbc new def") and rows[1]["n_edits"] == 2
     assert rows[2]["n_tokens_after"] == whole("xyz!")
+
+
+def test_stored_trees(spark, documents):
+    """Two rounds of edits on stored trees; only what they touch is encoded."""
+    from pyspark.sql import functions as F
+
+    text = "alpha beta gamma " * 3000
+    stored = K.with_trees(documents([(1, text), (2, None), (3, "x")]), ["doc_id"])
+    first = K.apply_edits(stored, F.expr("array(named_struct('seq', 1L, 'start', 100L, 'end', 105L, 'replacement', 'Q'), named_struct('seq', 2L, 'start', 0L, 'end', 0L, 'replacement', 'new '))"), ["doc_id"])
+    rows = {r["doc_id"]: r for r in K.apply_edits(first, F.expr("array(named_struct('seq', 1L, 'start', 3L, 'end', 4L, 'replacement', '!'))"), ["doc_id"]).collect()}
+    want = "new " + text[:100] + "Q" + text[105:]
+    whole = lambda t: len(COUNTER.encoding.encode_ordinary(t))
+    assert rows[1]["text"] == want[:3] + "!" + want[4:] and rows[1]["n_tokens_before"] == whole(want)
+    assert rows[1]["n_tokens_after"] == whole(rows[1]["text"]) and rows[1]["n_reencoded"] < 20
+    assert rows[2]["text"] == "new!Q" and rows[2]["n_tokens_after"] == whole("new!Q")
+    assert {r["doc_id"]: r["text"] for r in stored.collect()} == {1: text, 2: None, 3: "x"}
+
+
+def test_many_edits_of_a_long_text(documents):
+    """The work must not follow the product of edits and length."""
+    text = "id 0123456789abcdef0 and more words of text, " * 8000
+    row = K.report(documents([(1, text), (1, text)])).first()
+    assert row["n_edits"] == 8000 and row["n_tokens_after"] == len(COUNTER.encoding.encode_ordinary(text.replace("0123456789abcdef0", "[redacted]")))
