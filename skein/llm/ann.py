@@ -110,7 +110,13 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their greatest component near one: cosines stay, squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True, initial=0))[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return (x / np.sqrt((x * x).sum(1, keepdims=True))).astype(np.float32)
 
 
@@ -120,6 +126,7 @@ def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids:
     A matrix product finds what may be among them; those within a rounding error of the k-th are scored exactly.
     """
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    queries, rows = _scaled(queries), _scaled(rows)
     unit, length = rows / np.sqrt((rows * rows).sum(1, keepdims=True)), np.sqrt((rows * rows).sum(1))
     for a in range(0, len(queries), 256):
         q, ids = queries[a : a + 256], query_ids[a : a + 256]

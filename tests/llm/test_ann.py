@@ -58,3 +58,23 @@ def test_odd_vectors(spark):
     assert ann.search(df.limit(0)).count() == 0
     assert ann.search(df.where("vec_id = 1")).count() == 0
     assert ann.search(df.where("vec_id = 0")).count() == 0
+
+
+def test_extreme_sizes(spark):
+    """Squares of components that overflow or vanish; a cosine doesn't depend on lengths."""
+    rows = [(0, [1e200, 1e200]), (1, [1.0, 1.0]), (2, [1e-200, 1e-200]), (3, [1e308, 0.0]), (50, [5e-324, 0.0]), (4, [1e-300, 1e300])]
+    own = found(ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    assert {v for v, _ in own[0][:2]} == {1, 2} and all(abs(s - 1) < 1e-12 for _, s in own[0][:2]) and len(own[0]) == 5
+    assert own[50][0] == (3, 1.0) and len(own[50]) == 5 and all(np.isfinite(s) for x in own.values() for _, s in x)
+
+
+def test_scores_are_those_of_the_plain_formula(spark):
+    """Against brute force on a whole table: the same scores, and at least nine of ten neighbours."""
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    own = found(ann.search(df))
+    t = df.orderBy("vec_id").toArrow()
+    x, ids = np.stack(t.column("embedding").to_numpy()).astype(np.float64), t.column("vec_id").to_numpy()
+    want = brute(ids, x, 50, 5)
+    assert own.keys() == want.keys()
+    same = [(a, b) for q in want for a in own[q] for b in want[q] if a[0] == b[0]]
+    assert len(same) >= 0.9 * sum(map(len, want.values())) and all(abs(a[1] - b[1]) < 1e-12 for a, b in same)
