@@ -3,6 +3,9 @@
 DataFrame functions only. Trust is a personalised PageRank from hosts with pages that a rule allows; distrust is one over
 reversed links from hosts with pages that a rule blocks. A seed's mass is its number of such pages. A page that no rule
 fits is blocked if its host's distrust exceeds ``threshold`` times its trust, else allowed; a host without either is allowed.
+
+Each row is judged, also if rows repeat; a null url has an empty host and path, no rule, and is allowed; null html has no
+links; an empty table gives none; other columns of ``pages`` aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -49,11 +52,12 @@ def host_edges(pages: DataFrame, host: str = "host", html: str = "html") -> Data
     return links.where((F.col("src") != "") & (F.col("dst") != "") & (F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 10, damping: float = 0.85, every: int = 5) -> DataFrame:
-    """host, trust, distrust after ``rounds`` rounds; ``seeds`` has host, trust, distrust (masses).
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 200, damping: float = 0.85, tolerance: float = 1e-3, every: int = 5) -> DataFrame:
+    """host, trust, distrust; ``seeds`` has host, trust, distrust (masses, each kind is scaled to one).
 
-    Both ranks are rows of one table (node, way), so a round is one join and one sum. What a node without links of a way
-    would pass on goes back to nobody.
+    Both ranks are rows of one table (node, way), so a round is one join and one sum. Every few rounds the table is written;
+    it is done when no further node is reached and a round changes all ranks together by at most ``tolerance``, or after
+    ``rounds``. What a node without links of a way would pass on goes back to nobody.
     """
     ways = edges.select(F.lit("trust").alias("way"), F.col("src").alias("a"), F.col("dst").alias("b"), "n").unionAll(edges.select(F.lit("distrust"), "dst", "src", "n"))
     out = ways.groupBy("way", "a").agg(F.sum("n").alias("all"))
@@ -64,22 +68,37 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 10, damping: flo
     rank = start.select("way", "a", F.col("seed").alias("rank"))
     if not links.isEmpty():  # without links every round gives the seeds again
         for k in range(1, rounds + 1):
+            before = rank
             passed = rank.join(links, ["way", "a"]).select("way", F.col("b").alias("a"), (F.col("rank") * F.col("share") * damping).alias("rank"))
             rank = passed.unionAll(start.select("way", "a", F.col("seed") * (1 - damping))).groupBy("way", "a").agg(F.sum("rank").alias("rank"))
-            if k % every == 0 and k < rounds:
-                rank = checkpoint(rank)
+            if k % every == 0:
+                moved = F.abs(F.col("rank") - F.coalesce("old", F.lit(0.0)))
+                rank = checkpoint(rank.join(before.withColumnRenamed("rank", "old"), ["way", "a"], "left").select("way", "a", "rank", moved.alias("moved"), F.col("old").isNull().alias("new")))
+                change = rank.agg(F.sum("moved").alias("moved"), F.max("new").alias("new")).first()
+                rank = rank.select("way", "a", "rank")
+                if not change["new"] and change["moved"] <= tolerance:
+                    break
     each = reduce(lambda cols, w: [*cols, F.coalesce(F.sum(F.when(F.col("way") == w, F.col("rank"))), F.lit(0.0)).alias(w)], ("trust", "distrust"), [])
     return rank.groupBy(F.col("a").alias("host")).agg(*each)
 
 
-def judge(pages: DataFrame, rules=RULES, threshold: float = 1.0, rounds: int = 10) -> DataFrame:
+#: A host with more than this share of the pages joins without a shuffle; there are at most as many as its inverse.
+HOT_SHARE = 0.001
+
+
+def judge(pages: DataFrame, rules=RULES, threshold: float = 1.0, **options) -> DataFrame:
     """page_id, host, path, rule, verdict, and the host's trust and distrust, for every row of ``pages`` (url, html)."""
     url = F.col("url")
     ruled = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), "html").withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
-    counts = ruled.groupBy("host").agg(F.sum((F.col("fit.verdict") == "allow").cast("long")).alias("trust"), F.sum((F.col("fit.verdict") == "block").cast("long")).alias("distrust"))
+    counts = ruled.groupBy("host").agg(F.sum((F.col("fit.verdict") == "allow").cast("long")).alias("trust"), F.sum((F.col("fit.verdict") == "block").cast("long")).alias("distrust"), F.count("*").alias("pages"))
+    counts = checkpoint(counts)
     seeds = counts.select("host", *(F.coalesce(w, F.lit(0)).alias(w) for w in ("trust", "distrust"))).where("host != '' and trust + distrust > 0")
-    scores = propagate(host_edges(ruled), seeds, rounds)
+    scores = checkpoint(propagate(host_edges(ruled), seeds, **options))
+    every = counts.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
+    hot = F.broadcast(counts.where(F.col("pages") > HOT_SHARE * every).select("host").join(scores, "host", "left"))
+    rows = ruled.drop("html")
+    scored = rows.join(hot, "host").unionByName(rows.join(hot, "host", "left_anti").join(scores, "host", "left"))
     verdict = F.when(F.coalesce("distrust", F.lit(0.0)) > threshold * F.coalesce("trust", F.lit(0.0)), "block").otherwise("allow")
-    return ruled.drop("html").join(scores, "host", "left").select(
+    return scored.select(
         "page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", verdict).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")
     )
