@@ -4,8 +4,13 @@ The kernel of two texts is the cosine of their presence vectors over blended byt
 UTF-8 text). Nyström landmarks map a text to features, and kernel ridge regression gives one score for each language against
 the rest; batches of texts are scored by matrix products.
 
-Training takes at most ``per_language`` rows of each language, those with the least hashes, whole. Only these and what is
-computed from them come to the driver: its size depends on the parameters and the number of languages, not on the input.
+Training takes at most ``per_language`` rows of each language and ``sample_rows`` in all, of the ``most_languages`` languages with
+the most rows; those with the least hashes, whole. Their n-grams are found where the rows are: the driver gets a set of codes
+a text (at most 2**24 codes, whatever its length), keeps the ``vocabulary`` most frequent, and its memory depends on these
+parameters, not on the input. A very long text is one row of one task, which holds some 20 bytes a byte of it.
+
+Rows that repeat are predicted alike; of equal scores the first language by name wins; an empty
+table gives none, and without labelled rows all is unknown. A column of ``docs`` that has the name of a result is replaced.
 """
 
 from __future__ import annotations
@@ -41,11 +46,11 @@ def grams(text: np.ndarray) -> np.ndarray:
 class Model:
     """Vocabulary, landmarks and weights, all small; ``scores`` maps presence rows to languages."""
 
-    def __init__(self, texts: list[str], langs: list[str], landmarks: int, least_texts: int, ridge: float) -> None:
+    def __init__(self, sets: list[np.ndarray], langs: list[str], landmarks: int, least_texts: int, ridge: float, vocabulary: int) -> None:
         self.langs = sorted(set(langs))
-        sets = [grams(np.frombuffer(t.lower().encode(), np.uint8)) for t in texts]
         codes, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.int32), np.zeros(0))
-        self.codes = codes[n >= min(least_texts, max(1, len(sets) // 4))]
+        codes, n = (x[n >= min(least_texts, max(1, len(sets) // 4))] for x in (codes, n))
+        self.codes = np.sort(codes[np.argsort(-n, kind="stable")[:vocabulary]])
         x = np.zeros((len(sets), len(self.codes)), np.float32)
         for r, s in enumerate(sets):
             x[r, np.flatnonzero(np.isin(self.codes, s, assume_unique=True))] = 1
@@ -119,24 +124,36 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, per_language: int = 250, landmarks: int = 96, least_texts: int = 3, ridge: float = 1e-4) -> Model:
+def _gram_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        buf, at = B.column_bytes(batch.column("low"))
+        sets = [grams(buf[a:b]).astype(np.int32).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), pa.array(sets, pa.binary())], names=["lang", "h", "grams"])
+
+
+def fit(docs: DataFrame, per_language: int = 250, landmarks: int = 96, least_texts: int = 3, ridge: float = 1e-4, most_languages: int = 256, sample_rows: int = 4000, vocabulary: int = 20_000) -> Model:
     """A model from text and non-null lang of the rows that are not held out."""
     own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("text", "lang", F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
     # least hashes first, found by number and length of text before any text is sorted
-    few = own.select("lang", "h").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= per_language)
-    chosen = few.groupBy("lang").agg(F.max("h").alias("most"), F.count("*").alias("n")).collect()
-    if not chosen:
-        return Model([], [], landmarks, least_texts, ridge)
+    langs = [r["lang"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()]
+    if not langs:
+        return Model([], [], landmarks, least_texts, ridge, vocabulary)
+    each = max(1, min(per_language, sample_rows // len(langs)))
+    few = own.where(F.col("lang").isin(langs)).select("lang", "h").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= each)
+    chosen = few.groupBy("lang").agg(F.max("h").alias("most")).collect()
     most = docs.sparkSession.createDataFrame([(r["lang"], r["most"]) for r in chosen], "lang string, most long")
-    rows = own.join(F.broadcast(most), "lang").where(F.col("h") <= F.col("most")).groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
+    B.small_batches(docs)
+    rows = own.join(F.broadcast(most), "lang").where(F.col("h") <= F.col("most")).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    rows = rows.select("lang", "h", F.lower("text").alias("low")).mapInArrow(B.tidy(_gram_sets), "lang string, h long, grams binary").collect()
     rows.sort(key=lambda r: (r["lang"], r["h"]))
-    return Model([r["text"] for r in rows], [r["lang"] for r in rows], landmarks, least_texts, ridge)
+    return Model([np.frombuffer(r["grams"], np.int32) for r in rows], [r["lang"] for r in rows], landmarks, least_texts, ridge, vocabulary)
 
 
 def predict(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """``docs`` with the predicted language and a score from 0 to 1; ``und`` and 0 for null and for text without a letter."""
     B.small_batches(docs)
     shared = B.Shared(docs, model)
+    docs = docs.drop(lang, score)
     t = F.col("text")
     df = docs.withColumns({"__low": F.lower(F.coalesce(t, F.lit(""))), "__letter": F.coalesce(t.rlike(r"\p{L}"), F.lit(False))})
     schema = T.StructType([*docs.schema.fields, T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())])
