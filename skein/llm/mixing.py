@@ -2,12 +2,15 @@
 
 Token weights of cells (source, language, topic) are raked until the marginals meet their targets; a cell's raked tokens by
 its own tokens is the probability with which its documents are kept. Where a probability would exceed one, the cell is held
-at all its tokens and the rest is raked on.
+at all its tokens and the rest is raked on. Raking ends when a round moves at most ``TOLERANCE`` of the tokens, or after
+``ROUNDS`` rounds (targets that contradict each other have no limit). A topic is what the caller gives (a column or an
+expression); by default it is the form of the text.
 
 Without given targets, the target share of a value is its share of tokens to the power ``flatten`` of its dimension
 (normalised): smaller values gain. A null value is a value of its own. Tokens are runs of characters other than white space.
 Documents are kept by a hash of doc_id and text below the probability, so rows that repeat whole are kept or dropped
-together; a text without tokens has no weight and is dropped.
+together; a text without tokens has no weight and is dropped. An empty table gives none. Other columns may have any names;
+if ``docs`` has a ``probability``, ``sample`` adds ``mix_probability`` instead.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ DIMENSIONS = ("source", "lang", "topic")
 FLATTEN = {"source": 0.7, "lang": 0.5, "topic": 0.8}
 #: Cells that the driver rakes itself (a few MB); more are raked in Spark, by the same steps.
 DRIVER_CELLS = 200_000
-ROUNDS = 30
+ROUNDS, TOLERANCE = 200, 1e-7
 
 
 def tokens_of(text: Column) -> Column:
@@ -50,7 +53,7 @@ def default_targets(cells: DataFrame, budget: float) -> DataFrame:
     return each.join(F.broadcast(whole), "dim").select("dim", "value", (F.col("m") / F.col("all") * total * budget).alias("target"))
 
 
-def rake_local(cells, targets, rounds: int = ROUNDS) -> np.ndarray:
+def rake_local(cells, targets, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
     """Raked tokens of each cell (pandas frames in, an array out)."""
     own = cells["tokens"].to_numpy(np.float64)
     w = own.copy()
@@ -64,6 +67,7 @@ def rake_local(cells, targets, rounds: int = ROUNDS) -> np.ndarray:
                 goal[values[v]] = t
         wanted.append(goal)
     for _ in range(rounds):
+        before = w
         for c, goal in zip(codes, wanted, strict=True):
             full = w >= own
             held = np.bincount(c, np.where(full, 0, w), len(goal))
@@ -73,13 +77,16 @@ def rake_local(cells, targets, rounds: int = ROUNDS) -> np.ndarray:
             down = goal < have
             f = np.where(down, goal / np.where(have > 0, have, 1), np.where(held > 0, (goal - fixed) / np.where(held > 0, held, 1), 1))
             w = np.minimum(np.where(full & ~down[c], w, w * f[c]), own)
+        if np.abs(w - before).sum() <= tolerance * own.sum():
+            break
     return w
 
 
-def rake_spark(cells: DataFrame, targets: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def rake_spark(cells: DataFrame, targets: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """``cells`` with ``raked``, by joins and sums."""
-    w = cells.withColumn("raked", F.col("tokens").cast("double"))
+    w = cells.withColumns({"raked": F.col("tokens").cast("double"), "before": F.col("tokens").cast("double")})
     for k in range(rounds):
+        w = w.withColumn("before", F.col("raked"))
         for d in DIMENSIONS:
             full = F.col("raked") >= F.col("tokens")
             sums = w.groupBy(d).agg(F.sum(F.when(full, 0.0).otherwise(F.col("raked"))).alias("held"), F.sum(F.when(full, F.col("raked")).otherwise(0.0)).alias("fixed"))
@@ -89,10 +96,13 @@ def rake_spark(cells: DataFrame, targets: DataFrame, rounds: int = ROUNDS) -> Da
             down = F.col("goal") < have
             f = F.when(down, F.col("goal") / have).when(F.col("held") > 0, (F.col("goal") - F.col("fixed")) / F.col("held")).otherwise(1.0)
             raked = F.when(full & ~down, F.col("raked")).otherwise(F.least(F.col("raked") * f, F.col("tokens").cast("double")))
-            w = w.join(sums, F.col(d).eqNullSafe(F.col("v"))).select(*DIMENSIONS, "tokens", raked.alias("raked"))
+            w = w.join(sums, F.col(d).eqNullSafe(F.col("v"))).select(*DIMENSIONS, "tokens", raked.alias("raked"), "before")
         if k % 3 == 2:
             w = checkpoint(w)
-    return w
+            moved = w.agg(F.sum(F.abs(F.col("raked") - F.col("before"))).alias("m"), F.sum("tokens").alias("n")).first()
+            if (moved["m"] or 0) <= tolerance * (moved["n"] or 0):
+                break
+    return w.drop("before")
 
 
 def probabilities(measured: DataFrame, targets: DataFrame | None = None, budget: float = 0.5, rounds: int = ROUNDS, driver_cells: int = DRIVER_CELLS) -> DataFrame:
@@ -111,11 +121,15 @@ def probabilities(measured: DataFrame, targets: DataFrame | None = None, budget:
     return rake_spark(cells, checkpoint(targets), rounds).select(*DIMENSIONS, (F.col("raked") / F.col("tokens")).alias("probability"))
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
+def _topic(topic: Column | str | None, text: Column) -> Column:
+    return topic_of(text) if topic is None else (F.col(topic) if isinstance(topic, str) else topic).cast("string")
+
+
+def measured(docs: DataFrame, text: str = "text", topic: Column | str | None = None) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens and a draw from 0 to 1 of each row."""
     t = F.col(text)
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(10), F.col("doc_id").cast("string"), t), 11) * 2.0**-53
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), topic_of(t).alias("topic"), tokens_of(t).alias("n_tokens"), draw.alias("draw"))
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), _topic(topic, t).alias("topic"), tokens_of(t).alias("n_tokens"), draw.alias("draw"))
 
 
 def _matched(rows: DataFrame, cells: DataFrame, names: dict[str, str]) -> DataFrame:
@@ -124,20 +138,20 @@ def _matched(rows: DataFrame, cells: DataFrame, names: dict[str, str]) -> DataFr
     return rows.alias("r").join(cells.alias("c"), same, "left").select("r.*", F.coalesce("c.probability", F.lit(0.0)).alias("__probability"))
 
 
-def report(docs: DataFrame, **options) -> DataFrame:
+def report(docs: DataFrame, topic: Column | str | None = None, **options) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, probability, kept of each row."""
-    rows = measured(docs)
+    rows = measured(docs, topic=topic)
     cells = probabilities(rows, **options)
     out = _matched(rows, cells, {d: d for d in DIMENSIONS})
     return out.select("doc_id", *DIMENSIONS, "n_tokens", F.col("__probability").alias("probability"), ((F.col("draw") < F.col("__probability")) & (F.col("n_tokens") > 0)).alias("kept"))
 
 
-def sample(docs: DataFrame, **options) -> DataFrame:
+def sample(docs: DataFrame, topic: Column | str | None = None, **options) -> DataFrame:
     """The kept rows of ``docs`` with all their columns, and ``probability`` (``mix_probability`` if there is one)."""
-    cells = probabilities(measured(docs), **options)
+    cells = probabilities(measured(docs, topic=topic), **options)
     t = F.col("text")
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(10), F.col("doc_id").cast("string"), t), 11) * 2.0**-53
-    rows = docs.withColumns({"__source": F.col("source").cast("string"), "__lang": F.col("lang").cast("string"), "__topic": topic_of(t), "__draw": F.when(t.rlike(r"\S"), draw)})
+    rows = docs.withColumns({"__source": F.col("source").cast("string"), "__lang": F.col("lang").cast("string"), "__topic": _topic(topic, t), "__draw": F.when(t.rlike(r"\S"), draw)})
     name = "probability" if "probability" not in docs.columns else "mix_probability"
     out = _matched(rows, cells, {d: f"__{d}" for d in DIMENSIONS})
     return out.where(F.col("__draw") < F.col("__probability")).select(*docs.columns, F.col("__probability").alias(name))

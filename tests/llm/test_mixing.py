@@ -48,3 +48,30 @@ def test_odd_rows(odd, empty):
 @pytest.mark.parametrize(("text", "n"), [(None, 0), ("", 0), (" \n\t", 0), ("a", 1), (" a  b\nc ", 3)])
 def test_tokens(spark, text, n):
     assert spark.createDataFrame([(text,)], "t string").select(M.tokens_of(M.F.col("t"))).first()[0] == n
+
+
+def test_against_plain_raking(spark):
+    """Iterative proportional fitting over dicts of cells, for given topics and targets that no cell limits."""
+    df = table(spark).withColumn("subject", M.F.expr("if(doc_id % 3 = 0, 'x', 'y')"))
+    rows = [r.asDict() for r in df.collect()]
+    cells = {}
+    for r in rows:
+        key = (r["source"], r["lang"], r["subject"])
+        cells[key] = cells.get(key, 0) + len(r["text"].split())
+    goals = [{}, {}, {}]
+    for key, n in cells.items():
+        for g, v in zip(goals, key, strict=True):
+            g[v] = g.get(v, 0) + n
+    goals = [{v: 1000 * n**p / sum(m**p for m in g.values()) for v, n in g.items()} for g, p in zip(goals, (0.7, 0.5, 0.9), strict=True)]
+    raked = {k: float(n) for k, n in cells.items()}
+    for _ in range(500):
+        for d, g in enumerate(goals):
+            have = {v: sum(x for k, x in raked.items() if k[d] == v) for v in g}
+            raked = {k: x * g[k[d]] / have[k[d]] for k, x in raked.items()}
+    assert all(raked[k] < cells[k] for k in cells)
+    targets = spark.createDataFrame([(d, v, t) for d, g in zip(M.DIMENSIONS, goals, strict=True) for v, t in g.items()], "dim string, value string, target double")
+    got = M.report(df, "subject", targets=targets).select(*M.DIMENSIONS, "probability").distinct().collect()
+    assert len(got) == len(cells)
+    for r in got:
+        key = tuple(r[d] for d in M.DIMENSIONS)
+        assert r["probability"] == pytest.approx(raked[key] / cells[key], rel=1e-4)
