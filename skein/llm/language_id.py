@@ -109,9 +109,9 @@ def _predictor(model, rows: int = 256):
                         present[r, column[two + (1 << 8)]] = 1
                         if len(b) > 2:
                             present[r, column[(two[:-1] << 8 | b[2:]) + ((1 << 8) + (1 << 16))]] = 1
-                s = m.scores(present[:, :-1])
+                s = np.round(m.scores(present[:, :-1]).astype(np.float64), 4)  # beyond that, sums depend on the batch
                 best = s.argmax(1)
-                p = np.exp(4 * (s - s.max(1, keepdims=True)).astype(np.float64))
+                p = np.exp(4 * (s - s.max(1, keepdims=True)))
                 langs[own], scores[own] = np.array(m.langs, object)[best], p[np.arange(len(own)), best] / p.sum(1)
             keep = [c for c in batch.schema.names if c not in ("__low", "__letter")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "__lang", "__score"])
