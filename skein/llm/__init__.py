@@ -1,4 +1,7 @@
-"""Operators for training-data pipelines. Nothing else in the library imports this package."""
+"""Operators for training-data pipelines. Nothing else in the library imports this package.
+
+Columns that an operator carries along may have any names but those that begin with two underscores, which are its own.
+"""
 
 import sys
 

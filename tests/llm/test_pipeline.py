@@ -1,5 +1,7 @@
 """The stages in order on the smallest tables; each stage is judged on its own input."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from skein.llm import decontaminate, queries
 
@@ -40,3 +42,21 @@ def test_run(spark):
 def test_every_operator_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
     assert decontaminate.FOUND.names[0] == "n_words"
+
+
+def test_odd_rows(spark, odd, empty):
+    """Each stage on nulls, empty, very long and repeated texts, columns with clashing names, and an empty table."""
+    clash = odd.withColumns({"__lang": F.lit(1), "lang_pred": F.lit("x"), "score": F.lit(2.0), "class_id": F.lit(3), "line": F.lit(4), "n_hit": F.lit(5), "__topic": F.lit(6)})
+    kept = {}
+    for name, stage in P.STAGES:
+        out = stage(spark, clash, FOLDER)
+        assert all(r["__lang"] == 1 and r["__topic"] == 6 and r["class_id"] == 3 for r in out.collect())
+        assert out.columns == [*clash.columns, *(["mix_probability"] if name == "mixing" else [])], name
+        kept[name] = sorted(out.select("doc_id").collect(), key=lambda r: (r[0] is not None, r[0] or 0))
+        kept[name] = [r[0] for r in kept[name]]
+        assert stage(spark, empty, FOLDER).count() == 0
+    assert kept["language_id"] == [None, 5, 6, 7, 7, 8, 9]
+    assert kept["line_dedup"] == [None, None, 1, 2, 3, 4, 5, 6, 7, 7, 9]
+    assert kept["near_dedup"] == [None, None, 1, 2, 3, 4, 5, 6, 7, 9]
+    assert kept["decontamination"] == [None, None, 1, 2, 3, 4, 5, 6, 7, 7, 8, 9]
+    assert not {1, 2, 3} & set(kept["mixing"]) and kept["mixing"].count(7) != 1
