@@ -8,8 +8,9 @@ entries whatever the number of documents. (The IDF of the shingle itself would s
 copies back against those that differ, and need a count of all shingles.)
 
 Identical texts are one node, with a number. Nodes that share a band of ``ROWS`` of the samples are candidates: all pairs of a
-bucket of up to ``SMALL`` nodes; in a larger one each node with a leader, another one for each band. Of larger buckets that
-are still in several parts, every pair of nodes from two parts that can be a link is compared: two texts with a similarity of
+bucket of up to ``SMALL`` nodes; in a larger one each node with a leader, another one for each band. Larger buckets that are
+still in several parts are dealt into blocks of about ``SMALL`` nodes, within which all are compared, ``DEALS`` times. Of
+buckets that are in several parts even then, every pair of nodes from two parts that can be a link is compared: two texts with a similarity of
 ``LEAST`` have so much weight in common that, with the shingles of each in one order (rare ones first), they meet in a
 shingle near the start of both. So ``SMALL`` says where a pair is found, never whether. A pair is a link if the weighted
 Jaccard similarity of the whole texts is at least ``LEAST``; classes are the connected components of the links.
@@ -33,7 +34,7 @@ from . import _records as R
 from .components import connected_components
 
 WORDS, LEAST = 5, 0.8
-BANDS, ROWS, SMALL = 8, 3, 8
+BANDS, ROWS, SMALL, DEALS = 8, 3, 8, 2
 DF_FLOOR = 0.002
 #: Columns of the bands' keys.
 KEYS = tuple(f"k{i}" for i in range(BANDS))
@@ -274,6 +275,14 @@ def _pairs_apart(split: DataFrame) -> DataFrame:
     return pairs.select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v"))
 
 
+def _all_pairs(groups: DataFrame) -> DataFrame:
+    """u, v: all pairs of different roots within short arrays of (node, root)."""
+    pair = lambda x, y: F.struct(x["node"].alias("u"), y["node"].alias("v"))
+    own = F.array_sort("all")
+    pairs = F.transform(own, lambda x, i: F.transform(F.filter(F.slice(own, i + 2, F.size(own)), lambda y: y["root"] != x["root"]), lambda y: pair(x, y)))
+    return groups.select(F.explode(F.flatten(pairs)).alias("p")).select("p.u", "p.v")
+
+
 def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     """did, th, doc_id, class_id, class_size, kept and copies of each document (rows that repeat whole are one).
 
@@ -292,8 +301,7 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     # a leader for each bucket, chosen by a hash that differs between bands
     buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", "key")).alias("lead")).where("n > 1")
     shared = checkpoint(members.join(buckets.hint("merge"), "key"))
-    few = shared.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("all"))
-    few = few.select(F.explode(F.flatten(F.transform("all", lambda x, i: F.transform(F.slice("all", i + 2, SMALL), lambda y: F.struct(x.alias("u"), y.alias("v")))))).alias("p")).select("p.u", "p.v")
+    few = _all_pairs(shared.where(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("node", F.col("node").alias("root"))).alias("all")))
     star = shared.where((F.col("n") > SMALL) & (F.col("node") != F.col("lead"))).select(F.least("node", "lead").alias("u"), F.greatest("node", "lead").alias("v"))
 
     wanted = shared.select("node").distinct().join(nodes.select("node", "did", "th").hint("merge"), "node")
@@ -307,14 +315,27 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
 
     found = links(few.unionAll(star))
     roots = connected_components(found, "u", "v")
-    # large buckets in several parts: all pairs that can be links
-    rest = shared.where(F.col("n") > SMALL).select("key", "node").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    parts = rest.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("key")
-    split = checkpoint(rest.join(parts.hint("merge"), "key").select("node", "root").distinct().join(vectors.hint("merge"), "node"))
+
+    def apart() -> DataFrame:
+        """key, n, node, root of large buckets that are in several parts."""
+        rest = shared.where(F.col("n") > SMALL).select("key", "n", "node").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        parts = rest.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("key")
+        return rest.join(parts.hint("merge"), "key")
+
+    for turn in range(DEALS):
+        block = F.pmod(F.xxhash64("node", "key", F.lit(turn)), F.ceil(F.col("n") / SMALL))
+        dealt = apart().withColumn("block", block).groupBy("key", "block").agg(F.collect_list(F.struct("node", "root")).alias("all"))
+        more = links(_all_pairs(dealt))
+        if more.isEmpty():
+            break
+        found = found.unionAll(more)
+        roots = connected_components(found, "u", "v")
+    # what is in several parts even now: all pairs that can be links
+    split = checkpoint(apart().select("node", "root").distinct().join(vectors.hint("merge"), "node"))
     if not split.isEmpty():
-        last = links(_pairs_apart(split))
-        if not last.isEmpty():
-            roots = connected_components(found.unionAll(last), "u", "v")
+        more = links(_pairs_apart(split))
+        if not more.isEmpty():
+            roots = connected_components(found.unionAll(more), "u", "v")
 
     placed = nodes.select("a", "b", "node", "did", "th", "rows").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     heads = placed.groupBy("root").agg(F.min(F.struct("did", "th")).alias("head"), F.sum("rows").alias("class_size"))
