@@ -107,7 +107,8 @@ def scan(docs: DataFrame, model: list[float], text: str = "text", out: str = "fo
     t = F.coalesce(F.col(text), F.lit(""))
     base = reduce(lambda a, b: F.concat(a, b), (_spans(t, k, i, p, g, n) for i, (k, p, g, n) in enumerate(RULES)))
     base_name, rest_name = f"__{out}_base", f"__{out}_rest"
-    df = docs.withColumns({base_name: base, rest_name: t})
+    # few texts have a run that is long enough; only those are rewritten
+    df = docs.withColumns({base_name: base, rest_name: F.when(t.rlike(CANDIDATE), t).otherwise("")})
     for _, pattern, group, least in RULES:
         df = df.withColumn(rest_name, blanked(F.col(rest_name), pattern, group, least))
     judged = F.filter(_spans(F.col(rest_name), "markov", len(RULES), CANDIDATE, 0, 16), lambda s: (F.size(F.array_distinct(F.split(s["value"], ""))) >= DISTINCT) & (score(s["value"], model) >= least_score))
