@@ -218,6 +218,23 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(s, pa.float64())], names=["u", "v", "similarity"])
 
 
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """u, v: links between different roots within short lists of (node, root, vector); what a link has joined isn't compared again."""
+    for batch in batches:
+        out = []
+        for own in batch.column("all"):
+            own = own.as_py()
+            part = {x["root"]: x["root"] for x in own}
+            for i, x in enumerate(own):
+                for y in own[:i]:
+                    p, q = part[x["root"]], part[y["root"]]
+                    if p != q and weighted_jaccard(x["vector"], y["vector"]) >= LEAST:
+                        out.append((min(x["node"], y["node"]), max(x["node"], y["node"])))
+                        part = {r: p if t == q else t for r, t in part.items()}
+        u, v = zip(*out, strict=True) if out else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
 def _shingle(ids: np.ndarray) -> np.ndarray:
     """Slot of a shingle in the table of counts, whose size is fixed."""
     return (ids >> np.uint32(12)).astype(np.int64)
@@ -275,14 +292,6 @@ def _pairs_apart(split: DataFrame) -> DataFrame:
     return pairs.select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v"))
 
 
-def _all_pairs(groups: DataFrame) -> DataFrame:
-    """u, v: all pairs of different roots within short arrays of (node, root)."""
-    pair = lambda x, y: F.struct(x["node"].alias("u"), y["node"].alias("v"))
-    own = F.array_sort("all")
-    pairs = F.transform(own, lambda x, i: F.transform(F.filter(F.slice(own, i + 2, F.size(own)), lambda y: y["root"] != x["root"]), lambda y: pair(x, y)))
-    return groups.select(F.explode(F.flatten(pairs)).alias("p")).select("p.u", "p.v")
-
-
 def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     """did, th, doc_id, class_id, class_size, kept and copies of each document (rows that repeat whole are one).
 
@@ -301,7 +310,8 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     # a leader for each bucket, chosen by a hash that differs between bands
     buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", "key")).alias("lead")).where("n > 1")
     shared = checkpoint(members.join(buckets.hint("merge"), "key"))
-    few = _all_pairs(shared.where(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("node", F.col("node").alias("root"))).alias("all")))
+    few = shared.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("all"))
+    few = few.select(F.explode(F.flatten(F.transform("all", lambda x, i: F.transform(F.slice("all", i + 2, SMALL), lambda y: F.struct(x.alias("u"), y.alias("v")))))).alias("p")).select("p.u", "p.v")
     star = shared.where((F.col("n") > SMALL) & (F.col("node") != F.col("lead"))).select(F.least("node", "lead").alias("u"), F.greatest("node", "lead").alias("v"))
 
     wanted = shared.select("node").distinct().join(nodes.select("node", "did", "th").hint("merge"), "node")
@@ -324,8 +334,9 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
 
     for turn in range(DEALS):
         block = F.pmod(F.xxhash64("node", "key", F.lit(turn)), F.ceil(F.col("n") / SMALL))
-        dealt = apart().withColumn("block", block).groupBy("key", "block").agg(F.collect_list(F.struct("node", "root")).alias("all"))
-        more = links(_all_pairs(dealt))
+        dealt = apart().withColumn("block", block).select("key", "block", "node", "root").join(vectors.hint("merge"), "node")
+        dealt = dealt.groupBy("key", "block").agg(F.collect_list(F.struct("node", "root", "vector")).alias("all")).where(F.size("all") > 1)
+        more = checkpoint(dealt.select("all").mapInArrow(B.tidy(_compare), "u long, v long").distinct())
         if more.isEmpty():
             break
         found = found.unionAll(more)
