@@ -1,7 +1,11 @@
-"""Connected components by alternating large-star and small-star steps."""
+"""Connected components by alternating large-star and small-star steps, or by hooking in one task where edges are few."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,15 +14,35 @@ from skein.session import checkpoint
 
 #: Edges of a written partition: rounds on few edges shouldn't write a file for each partition of a shuffle.
 PARTITION_ROWS = 500_000
+#: So many edges between whole numbers (counted first; some 100 bytes each) are one task's work instead of rounds of joins.
+FEW = 1_000_000
+
+
+def _hook(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    both = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if len(b)]
+    if not both:
+        return
+    ends = np.concatenate([x for x, _ in both] + [y for _, y in both])
+    nodes, at = np.unique(ends, return_inverse=True)
+    a, b, root = *np.split(at, 2), np.arange(len(nodes))
+    while (root[a] != root[b]).any():
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["node", "root"])
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 50, few: int = FEW) -> DataFrame:
     """node, root for every node of ``edges`` (a written table); the root is the least node of its component.
 
     A step sums over the neighbours of a node before it joins the sum back, so a node with very many neighbours is one key
     of a join that Spark can split, never one task's list.
     """
-    parts = max(1, -(-edges.count() // PARTITION_ROWS))  # the number of edges never grows
+    n = edges.count()
+    if n <= few and dict(edges.dtypes)[a] == dict(edges.dtypes)[b] == "bigint":
+        return checkpoint(edges.select(a, b).where(F.col(a) != F.col(b)).coalesce(1).mapInArrow(_hook, "node long, root long"))
+    parts = max(1, -(-n // PARTITION_ROWS))  # the number of edges never grows
     e = checkpoint(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u != v").distinct().coalesce(parts))
     state = None
     for _ in range(most_rounds):

@@ -93,9 +93,17 @@ def test_weights_beyond_half_precision():
 
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (10, 11), (12, 11), (20, 20)] + [(100, 100 + k) for k in range(1, 50)]
-    got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 10: 10, 11: 10, 12: 10} | {100 + k: 100 for k in range(50)}
-    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    rng = random.Random(4)
+    edges += [(1000 + rng.randrange(300), 1000 + rng.randrange(300)) for _ in range(160)] + [(5000 - k, 5001 - k) for k in range(40)]
+    root = {x: x for e in edges for x in e}
+    for _ in range(400):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    want = {x: r for x, r in root.items() if any(x in e and e[0] != e[1] for e in edges)}
+    for few in (0, 1000):
+        got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), few=few).collect()}
+        assert got == want
+        assert connected_components(spark.createDataFrame([], "a long, b long"), few=few).count() == 0
 
 
 def test_odd_rows(odd, empty):
