@@ -29,9 +29,10 @@ class JobConf:
 
 
 class ResultStream:
-    """Rows as they arrive. A failure is raised once; after it, or after ``cancel``, the stream stays ended."""
+    """Rows as they arrive. A failure is raised once, or given to ``on_error``; after it, or after ``cancel``, the stream stays ended."""
 
-    def __init__(self, df: DataFrame, conf: JobConf) -> None:
+    def __init__(self, df: DataFrame, conf: JobConf, on_error: Callable[[Exception], None] | None = None) -> None:
+        self.on_error = on_error
         self.tag = f"{conf.name}-{uuid.uuid4().hex}"
         self.poisoned = False
         self._df, self._rows = df, None
@@ -51,9 +52,14 @@ class ResultStream:
         except StopIteration:
             self.poisoned = True
             raise
-        except Exception:
-            self.poisoned = True
-            raise
+        except Exception as e:
+            cancelled, self.poisoned = self.poisoned, True
+            if cancelled:
+                raise StopIteration from None
+            if self.on_error is None:
+                raise
+            self.on_error(e)
+            raise StopIteration from None
         finally:
             sc.removeJobTag(self.tag)
 
@@ -69,7 +75,7 @@ class ResultStream:
 Program = Callable[[SparkSession, JobConf], Flow | Single | DataFrame]
 
 
-def run(spark: SparkSession, program: Program, conf: JobConf | None = None) -> ResultStream:
+def run(spark: SparkSession, program: Program, conf: JobConf | None = None, on_error: Callable[[Exception], None] | None = None) -> ResultStream:
     """Build a program's plan and give its result."""
     conf = conf or JobConf()
     conf.use(spark)
@@ -77,7 +83,7 @@ def run(spark: SparkSession, program: Program, conf: JobConf | None = None) -> R
     df = out if isinstance(out, DataFrame) else out.df
     if conf.plan_print:
         df.explain("formatted")
-    return ResultStream(df, conf)
+    return ResultStream(df, conf, on_error)
 
 
 class Registry:

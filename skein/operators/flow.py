@@ -126,6 +126,14 @@ class Flow:
 
     reduce_partition = fold_partition
 
+    def fold_partition_from(self, **folds: tuple[Expr, Expr]) -> Flow:
+        """name=(initial value, aggregate expression) of each partition that has rows; without any, worker 0's initial values."""
+        if self.scope:
+            raise ValueError("initial values of partitions are given out at the top only")
+        out = self.fold_partition(**{n: F.coalesce(col(a), col(i)) for n, (i, a) in folds.items()}).df
+        zero = self.df.sparkSession.range(1).select(F.lit(0).alias("worker"), *(col(i).alias(n) for n, (i, _) in folds.items()))
+        return self._with(out.unionByName(zero.join(out.where("worker = 0").select("worker"), "worker", "left_anti")), key=())
+
     def limit_partition(self, n: int, *order: Expr) -> Flow:
         """At most ``n`` rows of each partition (by ``order``, if given)."""
         if not order and not self.scope:
@@ -271,6 +279,17 @@ class Flow:
         """Aggregates that have no value for no rows: then there is no result."""
         return self._single({n: col(a) for n, a in aggs.items()}, None)
 
+    def reduce_with(self, name: str, value: Expr, step: Callable[[Column, Column], Column]) -> Single:
+        """A reduce that is no built-in aggregate: ``step`` over two values, from the first one on; none for no rows.
+
+        ``step`` must not depend on the order of values: pieces of some thousand rows are reduced first, and their results then.
+        """
+        many = lambda: F.array_sort(F.collect_list("_v"))
+        over = lambda a: F.reduce(F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0))), F.get(a, F.lit(0)), step)
+        piece = self.df.select(*self._scopes, col(value).alias("_v"), F.expr("monotonically_increasing_id() div 8192").alias("_p")).where("_v is not null")
+        folded = piece.groupBy(*self._scopes, "_p").agg(over(many()).alias("_v"))
+        return self._with(folded, key=())._single({name: over(many())}, None)
+
     def reduce_by_key(self, **aggs: Expr) -> Flow:
         """Aggregates of each key; partly summed before the shuffle."""
         return self._with(self.df.groupBy(*self._scopes, *self.key).agg(*(col(a).alias(n) for n, a in aggs.items())))

@@ -21,19 +21,21 @@ def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, least_de
 
     A vertex gives its rank in equal parts to its out-neighbours; without any it gives nothing. The new rank of a vertex that
     was given something is damping * sum + (1 - damping) / N, others keep theirs. Ends after ``rounds``, or when the change
-    is at most ``least_delta`` (None: not tested, and nothing runs before the result is asked for).
+    is at most ``least_delta`` (None: not tested, ranks are written every ``every`` rounds only, to keep the plan short).
     """
     ids = edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).distinct()
     n = vertex_count or ids.count()
     links = edges.join(edges.groupBy("src").agg(F.count("*").alias("out")), "src").groupBy("src", "dst", "out").agg(F.count("*").alias("times")).select("src", "dst", (F.col("times") / F.col("out")).alias("share"))
-    links = checkpoint(links) if least_delta is not None else links
-    ranks = ids.withColumn("rank", F.lit(1.0) / n)
+    links = checkpoint(links)
+    ranks = checkpoint(ids.withColumn("rank", F.lit(1.0) / n))
     deltas = []
     for k in range(1, rounds + 1):
         given = links.join(ranks, links["src"] == ranks["id"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("sum"))
         new = ranks.join(given, ranks["id"] == given["dst"], "left").select("id", F.coalesce(damping * F.col("sum") + (1 - damping) / n, "rank").alias("rank"), F.col("rank").alias("old"))
         if least_delta is None:
             ranks = new.select("id", "rank")
+            if k % every == 0 and k < rounds:
+                ranks = checkpoint(ranks)
             continue
         new = checkpoint(new)
         ranks = new.select("id", "rank")

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein import job
 from skein.operators import graph
 from skein.operators.flow import Flow
 from skein.plans import algorithms
 from skein.plans.loops import EmitKind, IterCondition
-from skein.sources import input_range
+from skein.session import ensure_checkpoint_dir
+from skein.sources import delimited, encode_edges, input_from, input_range, load_edges, partition_edges, properties, text_lines, worker_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -159,14 +162,29 @@ def limit_partition(t):
     return t.orders.map(o_orderkey="o_orderkey", o_custkey="o_custkey", o_totalprice="o_totalprice").repartition("o_custkey", 4).limit_partition(2, F.desc("o_totalprice"), "o_orderkey").map(o_orderkey="o_orderkey")
 
 
-@query("select l_suppkey, count(*) as n from lineitem group by 1")
+@query("select l_suppkey, count(*) as n, 1::bigint as workers from lineitem group by 1")
 def partition_by_key(t):
-    return t.lineitem.map(l_suppkey="l_suppkey").key_by(l_suppkey="l_suppkey").partition_by_key(8).reduce_by_key(n="count(*)")
+    """All rows of a key are with one worker."""
+    own = t.lineitem.map(l_suppkey="l_suppkey").key_by(l_suppkey="l_suppkey").partition_by_key(8).extend(worker=worker_index())
+    return own.reduce_by_key(n="count(*)", workers="count(distinct worker)")
 
 
-@query("select count(*) as n from nation")
+@query("select count(*) as n, 1::bigint as workers from lineitem")
 def aggregate_one(t):
-    return t.nation.map(x="n_nationkey").aggregate().count("n")
+    """All rows are with one worker."""
+    return t.lineitem.map(x="l_orderkey").aggregate().extend(worker=worker_index()).reduce(n="count(*)", workers="count(distinct worker)")
+
+
+@query("select n_nationkey, (n_nationkey % 4)::integer as worker from nation")
+def worker_of_row(t):
+    """The worker that a route names is the one that a row is with."""
+    return t.nation.map(n_nationkey="n_nationkey").repartition("n_nationkey", 4).extend(worker=worker_index())
+
+
+@query("select 0 as worker, 0::bigint as n")
+def fold_partition_empty(t):
+    """Without rows, worker 0 gives the initial value."""
+    return t.orders.filter("o_totalprice < 0").map(o_custkey="o_custkey").repartition("o_custkey", 4).fold_partition_from(n=("0L", "sum(o_custkey)"))
 
 
 # -- aggregates ----------------------------------------------------------------------------------------------
@@ -203,6 +221,18 @@ def reduce_global(t):
     return t.orders.reduce(m="max(o_totalprice)", k="min(o_orderkey)")
 
 
+@query("select bit_xor(o_orderkey) as x from orders")
+def reduce_generic(t):
+    """A function of two rows that is no built-in aggregate; the first row is the seed."""
+    return t.orders.reduce_with("x", "o_orderkey", lambda a, b: a.bitwiseXOR(b))
+
+
+@query("select o_custkey, bit_xor(o_orderkey) as x from orders group by 1")
+def segment_reduce_generic(t):
+    own = t.orders.map(o_custkey="o_custkey", o_orderkey="o_orderkey").key_by(o_custkey="o_custkey")
+    return own.segment_apply(lambda f: f.reduce_with("x", "o_orderkey", lambda a, b: a.bitwiseXOR(b)))
+
+
 @query("select max(l_orderkey) as m from lineitem where l_quantity < 0 having count(*) > 0")
 def reduce_empty_drops(t):
     return t.lineitem.filter("l_quantity < 0").reduce(m="max(l_orderkey)")
@@ -244,14 +274,14 @@ def segment_apply(t):
 
 
 def _sides(t):
-    """Customers of some nations, and orders of some months: either side has keys that the other lacks."""
-    left = t.customer.filter("c_nationkey < 12").map(k="c_custkey", c_name="c_name").key_by(k="k")
-    right = t.orders.filter("o_orderkey % 3 = 0").map(k="o_custkey", o_orderkey="o_orderkey").key_by(k="k")
+    """All customers, and all orders with keys moved by 100: either side has keys that the other lacks."""
+    left = t.customer.map(k="c_custkey", c_name="c_name").key_by(k="k")
+    right = t.orders.map(k="o_custkey + 100", o_orderkey="o_orderkey").key_by(k="k")
     return left, right
 
 
-L = "(select c_custkey as k, c_name from customer where c_nationkey < 12) l"
-R = "(select o_custkey as right_k, o_orderkey from orders where o_orderkey % 3 = 0) r"
+L = "(select c_custkey as k, c_name from customer) l"
+R = "(select o_custkey + 100 as right_k, o_orderkey from orders) r"
 
 
 @query(f"select * from {L} join {R} on k = right_k")
@@ -290,10 +320,10 @@ def anti_join(t):
     return left.anti_join(right)
 
 
-@query("""select l.k, c_custkey, n_nationkey from (select nullif(c_nationkey % 5, 0) as k, c_custkey from customer where c_custkey <= 50) l
+@query("""select l.k, c_custkey, n_nationkey from (select nullif(c_nationkey % 5, 0) as k, c_custkey from customer) l
 join (select nullif(n_nationkey % 5, 0) as k, n_nationkey from nation) r on l.k is not distinct from r.k""")
 def null_key_join(t):
-    left = t.customer.filter("c_custkey <= 50").map(k="nullif(c_nationkey % 5, 0)", c_custkey="c_custkey").key_by(k="k")
+    left = t.customer.map(k="nullif(c_nationkey % 5, 0)", c_custkey="c_custkey").key_by(k="k")
     right = t.nation.map(k="nullif(n_nationkey % 5, 0)", n_nationkey="n_nationkey").key_by(k="k")
     return left.inner_join(right).map(k="k", c_custkey="c_custkey", n_nationkey="n_nationkey")
 
@@ -334,10 +364,11 @@ def early_stop(t):
 
 
 def _orders(t, *columns):
-    return t.orders.filter("o_orderkey % 4 <> 0 and o_custkey % 5 <> 0").df.select(F.col("o_custkey").alias("c_custkey"), *columns)
+    """All orders, with keys moved by 5: some customers have none."""
+    return t.orders.df.select((F.col("o_custkey") + 5).alias("c_custkey"), *columns)
 
 
-O = "(select * from orders where o_orderkey % 4 <> 0 and o_custkey % 5 <> 0) o"  # noqa: E741
+O = "(select * replace (o_custkey + 5 as o_custkey) from orders) o"  # noqa: E741
 
 
 def _customers(t):
@@ -392,6 +423,12 @@ def apply_nested(t):
     return t.region.map(r_regionkey="r_regionkey").apply(lambda f: f.lookup(nations, "r_regionkey").apply(inner).fold(s=("0L", "sum(m * m)")), unique="r_regionkey")
 
 
+@query(f"select c_custkey, c_name, (select max(o_totalprice) from {O} where o_custkey = c_custkey) as top from customer where exists (select 1 from {O} where o_custkey = c_custkey)")
+def apply_parallel(t):
+    """The degree of parallelism changes nothing."""
+    return _customers(t).apply_parallel(2, lambda f: f.lookup(_orders(t, "o_totalprice"), "c_custkey").reduce(top="max(o_totalprice)"), unique="c_custkey")
+
+
 @query("select x, 3::bigint as n from (select n_regionkey as x from nation)")
 def apply_duplicates(t):
     return t.nation.map(x="n_regionkey").apply(lambda f: f.flat_map("sequence(1, 3)", "y").count("n"))
@@ -445,23 +482,38 @@ def apply_iterate(t):
     return t.nation.map(x="n_nationkey").apply(lambda f: f.iterate(3, lambda g: Flow(g.df.select(g.scope, F.explode(F.sequence(F.col("x"), F.col("x") + 1)).alias("x")), g.scope)).count("n"), unique="x")
 
 
+PING_PONG = "with recursive w(x, k, b) as (select 3::bigint, 0, true union all select case when x % 10 <> 0 and k < 4 then x + 3 else x * 2 end, case when x % 10 <> 0 and k < 4 then k + 1 else 0 end, not (x % 10 <> 0 and k < 4) from w where not (b and x > 150)) "
+
+
+@query(PING_PONG + "select x from w where b and x > 150")
+def ping_pong(t):
+    """A loop in a loop: up by 3 until a number ends in 0 (four times at most), then with its copy to their sum, until it is over 150."""
+    inner = lambda f: f.iterate_until(IterCondition(4, "x % 10 = 0"), lambda g: g.map(x="x + 3"))
+
+    def outer(f):
+        a, b = inner(f).copied()
+        return a.merge(b).reduce(x="sum(x)").into_flow()
+
+    return t.region.limit(1).map(x="3L").iterate_until(IterCondition(20, "x > 150"), outer, every=1)
+
+
 # -- graphs --------------------------------------------------------------------------------------------------
 
-#: Suppliers and the parts they ship, both ways; parts are numbered after a million.
-EDGES = "select distinct l_suppkey as src, l_partkey + 1000000 as dst from lineitem where l_suppkey % 2 = 0"
+#: Suppliers and the parts they ship, both ways; parts are numbered after 10**11.
+EDGES = "select distinct l_suppkey as src, l_partkey + 100000000000 as dst from lineitem"
 BOTH = f"with e as ({EDGES} union all select dst, src from ({EDGES}) b) "
 
 
 def _edges(t, both: bool = True) -> DataFrame:
-    one = t.lineitem.filter("l_suppkey % 2 = 0").df.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1000000).alias("dst")).distinct()
+    one = t.lineitem.df.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 100000000000).alias("dst")).distinct()
     return one.unionAll(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"))) if both else one
 
 
 def _starts(t) -> DataFrame:
-    return t.supplier.df.where("s_suppkey <= 20").select(F.col("s_suppkey").alias("id"))
+    return t.supplier.df.select(F.col("s_suppkey").alias("id"))
 
 
-@query(BOTH + "select s_suppkey as id, dst as neighbor from supplier join e on src = s_suppkey where s_suppkey <= 20")
+@query(BOTH + "select s_suppkey as id, dst as neighbor from supplier join e on src = s_suppkey")
 def graph_neighbors(t):
     return graph.neighbors(_edges(t), _starts(t))
 
@@ -476,10 +528,11 @@ def graph_totals(t):
     return graph.totals(_edges(t, False))
 
 
-WALKS = "(select a.src as id, count(*)::bigint as walks from e a join e b on a.dst = b.src join e c on b.dst = c.src group by 1) w"
+WALKS = """(with w1 as (select src as id, count(*) as n from e group by 1), w2 as (select src as id, sum(n) as n from e join w1 on w1.id = dst group by 1)
+select src as id, sum(n)::bigint as walks from e join w2 on w2.id = dst group by 1) w"""
 
 
-@query(BOTH + "select s_suppkey as id, b.dst as neighbor from supplier join e a on a.src = s_suppkey join e b on b.src = a.dst where s_suppkey <= 20")
+@query(BOTH + "select s_suppkey as id, b.dst as neighbor from supplier join e a on a.src = s_suppkey join e b on b.src = a.dst")
 def khop_walks(t):
     return graph.k_hop(_edges(t), _starts(t), 2)
 
@@ -489,19 +542,35 @@ def khop_single(t):
     return graph.k_hop_counts(_edges(t), _starts(t).where("id = 2"), 3).select("walks")
 
 
-@query(BOTH + f"select id, walks from supplier join {WALKS} on id = s_suppkey where s_suppkey <= 20")
+@query(BOTH + f"select id, walks from supplier join {WALKS} on id = s_suppkey")
 def khop_packed(t):
     return graph.k_hop_counts(_edges(t), _starts(t), 3, keep_zero=False)
 
 
-@query(BOTH + f"select s_suppkey as id, coalesce(walks, 0)::bigint as walks from supplier left join {WALKS} on id = s_suppkey where s_suppkey <= 20")
+@query(BOTH + f"select s_suppkey as id, coalesce(walks, 0)::bigint as walks from supplier left join {WALKS} on id = s_suppkey")
 def khop_unpacked(t):
+    """A subtask for each start; walks that meet at a vertex go on as one row with their number."""
     step = _edges(t).select(F.col("src").alias("x"), F.col("dst").alias("y"))
 
     def hop(f):
-        return Flow(f.df.join(step, "x").select(f.scope, F.col("y").alias("x")), f.scope)
+        return f.lookup(step, "x").key_by(x="y").reduce_by_key(n="sum(n)")
+
+    return Flow(_starts(t)).apply(lambda f: f.map(x="id", n="1L").iterate(3, hop).fold(walks=("0L", "sum(n)")), unique="id")
+
+
+@query(BOTH + "select s_suppkey as id, count(distinct src)::bigint as walks from supplier left join e on src = s_suppkey group by 1")
+def khop_unpacked_limit(t):
+    """One row of each hop, for each start."""
+    step = _edges(t).select(F.col("src").alias("x"), F.col("dst").alias("y"))
+    hop = lambda f: f.lookup(step, "x").map(x="y").sort_limit(1, "x")
+    return Flow(_starts(t)).apply(lambda f: f.map(x="id").iterate(3, hop).count("walks"), unique="id")
+
 
-    return Flow(_starts(t)).apply(lambda f: f.extend(x="id").iterate(3, hop).count("walks"), unique="id")
+@query("select 1::bigint as walks")
+def khop_packed_limit(t):
+    """One row of each hop, for all starts together."""
+    step = _edges(t).select(F.col("src").alias("x"), F.col("dst").alias("y"))
+    return Flow(_starts(t)).map(x="id").iterate(3, lambda f: f.lookup(step, "x").map(x="y").limit(1)).count("walks")
 
 
 @query(BOTH + "select b.dst as x, (select count(*) from e c where c.src = b.dst)::bigint as n from e a join e b on a.dst = b.src where a.src = 2")
@@ -517,10 +586,10 @@ def _topology(t) -> DataFrame:
     return graph.labeled(live, "customer", "lives", "nation").unionAll(graph.labeled(sell, "supplier", "sells", "nation"))
 
 
-@query("""select 'nation' as label, n_nationkey::bigint as id, 'lives' as edge_label, 'customer' as neighbor_label, c_custkey as neighbor from nation join customer on c_nationkey = n_nationkey where n_nationkey < 3
-union all select 'nation', n_nationkey, 'sells', 'supplier', s_suppkey from nation join supplier on s_nationkey = n_nationkey where n_nationkey < 3""")
+@query("""select 'nation' as label, n_nationkey::bigint as id, 'lives' as edge_label, 'customer' as neighbor_label, c_custkey as neighbor from nation join customer on c_nationkey = n_nationkey 
+union all select 'nation', n_nationkey, 'sells', 'supplier', s_suppkey from nation join supplier on s_nationkey = n_nationkey""")
 def labeled_neighbors(t):
-    starts = t.nation.filter("n_nationkey < 3").df.select(F.lit("nation").alias("label"), F.col("n_nationkey").cast("long").alias("id"))
+    starts = t.nation.df.select(F.lit("nation").alias("label"), F.col("n_nationkey").cast("long").alias("id"))
     return graph.labeled_neighbors(_topology(t), starts, graph.Direction.IN)
 
 
@@ -547,7 +616,7 @@ def vertex_order(t):
     return graph.ordered(t.nation.map(id="n_nationkey", n_name="n_name", n_regionkey="n_regionkey").df, ("n_regionkey", False), ("n_name", True)).limit(7).select("id", "n_name")
 
 
-@query()
+@query(BOTH + """select src as id from (select distinct src, md5('7:' || src) as h from e) x where ('0x' || substr(h, 1, 8))::bigint < 0.5 * 4294967296 order by h limit 50""")
 def sample_vertices(t):
     return graph.sample_vertices(_edges(t), 50, 0.5, 7)
 
@@ -562,17 +631,17 @@ def pagerank_3(t):
     return algorithms.pagerank(_edges(t), 3, least_delta=None)[0].select("id", F.round("rank", 9).alias("rank"))
 
 
-GRADIENTS = "with recursive s as (select o_totalprice / 400000 as a, (o_orderkey % 7) / 7.0::double as b, case when o_orderstatus = 'F' then 1.0 else 0.0 end as y from orders where o_orderkey <= 200), w1 as (select 1.0::double as w0, 1.0::double as w1, 1.0::double as w2)"
+GRADIENTS = "with recursive s as (select o_totalprice / 400000 as a, (o_orderkey % 7) / 7.0::double as b, case when o_orderstatus = 'F' then 1.0 else 0.0 end as y from orders), w1 as (select 1.0::double as w0, 1.0::double as w1, 1.0::double as w2)"
 for _k in range(1, 6):
     GRADIENTS += f", g{_k} as (select sum(1 / (1 + exp(-(w0 + w1 * a + w2 * b))) - y) as g0, sum((1 / (1 + exp(-(w0 + w1 * a + w2 * b))) - y) * a) as g1, sum((1 / (1 + exp(-(w0 + w1 * a + w2 * b))) - y) * b) as g2 from s, w{_k})"
-    GRADIENTS += f", w{_k + 1} as (select w0 - g0 * 0.01 as w0, w1 - g1 * 0.01 as w1, w2 - g2 * 0.01 as w2 from w{_k}, g{_k})"
+    GRADIENTS += f", w{_k + 1} as (select w0 - g0 * 0.00001 as w0, w1 - g1 * 0.00001 as w1, w2 - g2 * 0.00001 as w2 from w{_k}, g{_k})"
 
 
-@query(GRADIENTS + " select 0 as i, round(w0, 6) as w, round(g0, 6) as g from w5, g5 union all select 1, round(w1, 6), round(g1, 6) from w5, g5 union all select 2, round(w2, 6), round(g2, 6) from w5, g5")
+@query(GRADIENTS + " select 0 as i, round(w0, 6) as w, round(g0, 3) as g from w5, g5 union all select 1, round(w1, 6), round(g1, 3) from w5, g5 union all select 2, round(w2, 6), round(g2, 3) from w5, g5")
 def logreg_5(t):
-    own = t.orders.filter("o_orderkey <= 200").map(a="o_totalprice / 400000", b="cast((o_orderkey % 7) / 7.0D as double)", y="case when o_orderstatus = 'F' then 1.0D else 0.0D end").df
-    weights, last = algorithms.logistic_regression(own, ["a", "b"], "y", 5, 0.01)
-    rows = [(i, round(w, 6), round(g, 6)) for i, (w, g) in enumerate(zip(weights, last, strict=True))]
+    own = t.orders.map(a="o_totalprice / 400000", b="cast((o_orderkey % 7) / 7.0D as double)", y="case when o_orderstatus = 'F' then 1.0D else 0.0D end").df
+    weights, last = algorithms.logistic_regression(own, ["a", "b"], "y", 5, 0.00001)
+    rows = [(i, round(w, 6), round(g, 3)) for i, (w, g) in enumerate(zip(weights, last, strict=True))]
     return t.spark.createDataFrame(rows, "i int, w double, g double")
 
 
@@ -583,11 +652,19 @@ def bfs_levels(t):
     return algorithms.bfs(_edges(t), _starts(t).where("id = 2"), 3)
 
 
-@query(BOTH + """, d1 as (select distinct dst as id from e where src = 2), d2 as (select distinct e.dst as id from e join d1 on e.src = d1.id where e.dst <> 2)
-select id, 2 as dist, (s_nationkey % 2)::varchar as first_name, s_name as last_name from d2 join supplier on s_suppkey = id where s_nationkey % 2 = 1 order by last_name, id limit 20""")
+#: Suppliers that know each other: the next one, and the one of twice the number, both ways.
+KNOWS = "with k as (select s_suppkey as src, s_suppkey + 1 as dst from supplier union select s_suppkey, 2 * s_suppkey from supplier), e as (select src, dst from k union select dst, src from k)"
+
+
+@query(KNOWS + """, d1 as (select distinct dst as id from e where src = 2 and dst <> 2), d2 as (select distinct e.dst as id from e join d1 on e.src = d1.id where e.dst <> 2 and e.dst not in (select id from d1)),
+d3 as (select distinct e.dst as id from e join d2 on e.src = d2.id where e.dst <> 2 and e.dst not in (select id from d1) and e.dst not in (select id from d2))
+select id, dist, (s_nationkey % 2)::varchar as first_name, s_name as last_name from (select id, 1 as dist from d1 union all select id, 2 from d2 union all select id, 3 from d3) d join supplier on s_suppkey = id
+where s_nationkey % 2 = 1 order by dist, last_name, id limit 20""")
 def friends_by_name(t):
+    one = t.supplier.df.select(F.col("s_suppkey").alias("src"), F.explode(F.expr("array(s_suppkey + 1, 2 * s_suppkey)")).alias("dst"))
+    edges = one.unionAll(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     people = t.supplier.map(id="s_suppkey", first_name="cast(s_nationkey % 2 as string)", last_name="s_name").df
-    return algorithms.friends_by_name(_edges(t), people, 2, "1", 3).select("id", "dist", "first_name", "last_name")
+    return algorithms.friends_by_name(edges, people, 2, "1", 3).select("id", "dist", "first_name", "last_name")
 
 
 @query("select 499500::bigint as n")
@@ -595,4 +672,101 @@ def flow_control(t):
     return input_range(t.spark, 0, 1000).flat_map("sequence(0, x)", "y", ["x"]).filter("y < x").count("n")
 
 
+# -- sources, sinks, jobs -----------------------------------------------------------------------------------
+
+
+def _scratch(t) -> str:
+    """A new folder that all executors share."""
+    ensure_checkpoint_dir(t.spark)
+    return f"{t.spark.sparkContext.getCheckpointDir()}/scratch-{uuid.uuid4().hex}"
+
+
+@query("select n_nationkey as x from nation")
+def sink_rows(t):
+    """Rows into a list, a partition at a time, and back."""
+    rows: list = []
+    t.nation.map(x="n_nationkey").sink_into(rows)
+    return input_from(t.spark, rows, "x int")
+
+
+@query("select count(*) as n, max(o_totalprice) as m from orders")
+def sink_single(t):
+    return input_from(t.spark, [t.orders.reduce(n="count(*)", m="max(o_totalprice)").sink()], "n long, m double")
+
+
+@query("select r_regionkey as x, 0 as failed from region union all select -1, 1")
+def result_stream(t):
+    """A job's rows one by one; an error goes its own way, once, and ends the stream."""
+    rows = [(r["x"], 0) for r in job.run(t.spark, lambda spark, conf: t.region.map(x="r_regionkey"))]
+    errors: list = []
+    broken = job.run(t.spark, lambda spark, conf: t.region.map(x="raise_error('no')"), on_error=errors.append)
+    assert list(broken) == [] and broken.try_next() is None
+    return input_from(t.spark, [*rows, *((-1, 1) for _ in errors)], "x int, failed int")
+
+
+@query("select r_regionkey + 10 as x from region")
+def job_by_name(t):
+    """A program that is registered under a name, with an argument and a resource."""
+    programs = job.Registry()
+
+    @programs.register("shifted")
+    def shifted(spark, conf, by):
+        return conf.resources["regions"].map(x=F.col("r_regionkey") + by)
+
+    return input_from(t.spark, list(programs.submit(t.spark, "shifted", job.JobConf(resources={"regions": t.region}), by=10)), "x int")
+
+
+@query("select distinct l_suppkey as src, l_partkey as dst from lineitem")
+def edges_encode(t):
+    """Edges written as text with a header and a separator, encoded, and loaded."""
+    return _encoded(t)
+
+
+@query("select distinct l_suppkey as src, l_partkey as dst from lineitem where l_suppkey % 3 = 1")
+def edges_partition(t):
+    """The encoded edges of one of three parts."""
+    return _encoded(t, (1, 3))
+
+
+def _encoded(t, part=None) -> DataFrame:
+    at = _scratch(t)
+    t.lineitem.df.select("l_suppkey", "l_partkey").distinct().write.option("sep", "|").option("header", True).csv(f"{at}/text")
+    encode_edges(t.spark, f"{at}/text", f"{at}/edges", "|", skip_header=True, partition=part)
+    return load_edges(t.spark, f"{at}/edges")
+
+
+@query("select l_suppkey as src, count(distinct l_partkey) as n, 1::bigint as workers from lineitem group by 1")
+def edges_by_source(t):
+    """All edges of a source are with one worker."""
+    own = partition_edges(t.lineitem.df.select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct(), 4)
+    return own.withColumn("worker", worker_index()).groupBy("src").agg(F.count("*").alias("n"), F.countDistinct("worker").alias("workers"))
+
+
+@query("select c_custkey as id, c_name from customer where c_custkey in (select s_suppkey from supplier)")
+def property_reader(t):
+    at = _scratch(t)
+    t.customer.map(id="c_custkey", c_name="c_name", c_acctbal="c_acctbal").write(f"{at}/vertices")
+    return properties(t.spark, f"{at}/vertices", t.supplier.map(id="s_suppkey").df, ["c_name"])
+
+
+@query("select n_name as line from nation")
+def lines_of_text(t):
+    at = _scratch(t)
+    t.nation.map(value="n_name").df.write.text(at)
+    return text_lines(t.spark, at)
+
+
+@query("select n_nationkey, n_name from nation")
+def delimited_file(t):
+    at = _scratch(t)
+    t.nation.map(n_nationkey="n_nationkey", n_name="n_name").df.write.option("sep", ";").option("header", True).csv(at)
+    return delimited(t.spark, at, "n_nationkey int, n_name string", ";")
+
+
+@query("select n_nationkey as x from nation union all select n_nationkey from nation")
+def source_replicas(t):
+    """A source that two workers read."""
+    return input_from(t.spark, [r["x"] for r in t.nation.map(x="n_nationkey").df.collect()], "x int", replicas=2)
+
+
 entry = partial(QUERIES["word_count"])

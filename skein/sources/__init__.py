@@ -44,13 +44,19 @@ def delimited(spark: SparkSession, path: str, schema: str, separator: str = ",",
 def encode_edges(spark: SparkSession, path: str, out: str, separator: str = " ", skip_header: bool = False, src_index: int = 0, dst_indexes: Iterable[int] = (1,), partition: tuple[int, int] | None = None) -> None:
     """Write (src, dst) rows of a delimited edge list as Parquet; a line may have several targets, and repeated edges stay.
 
-    ``partition`` = (p, n) keeps sources with src mod n = p.
+    ``partition`` = (p, n) keeps sources with src mod n = p. With ``skip_header`` the first line of each file goes; any other
+    line whose source or targets are no whole numbers is an error. Blank lines are passed over.
     """
-    parts = F.split("value", separator.replace("|", r"\|"))
-    at = lambda i: F.get(parts, F.lit(i)).try_cast("long")
-    lines = spark.read.text(path)
+    parts = F.split("value", rf"\Q{separator}\E")
+    at = lambda i: F.get(parts, F.lit(i)).cast("long")
+    if skip_header:
+        lines = spark.read.schema("value string").option("header", True).option("enforceSchema", True).option("sep", "\u0001").option("quote", "").csv(path)
+    else:
+        lines = spark.read.text(path)
+    lines = lines.where("trim(value) != ''")
+    bad = F.raise_error(F.concat(F.lit("no edge: "), F.col("value")))
+    lines = lines.withColumn("value", F.when(F.get(parts, F.lit(src_index)).try_cast("long").isNull() | F.exists(F.array(*(F.get(parts, F.lit(i)).try_cast("long") for i in dst_indexes)), lambda x: x.isNull()), bad).otherwise(F.col("value")))
     edges = lines.select(at(src_index).alias("src"), F.explode(F.array(*(at(i) for i in dst_indexes))).alias("dst"))
-    edges = edges.where("src is not null and dst is not null") if skip_header else edges.where("src is not null or dst is not null")
     if partition:
         edges = edges.where(F.pmod("src", F.lit(partition[1])) == partition[0])
     edges.write.parquet(out)

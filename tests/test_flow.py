@@ -336,3 +336,28 @@ def test_functions(spark):
     import pyarrow.compute as pc
 
     assert values(ints(spark, 1, 2).map(y=functions.scalar(lambda x: pc.multiply(x, 3), "long")(F.col("x")))) == [3, 6]
+
+
+@pytest.mark.parametrize("separator", ["|", ".", "*", "^", "\t", "::"])
+def test_edge_lists_with_any_separator(spark, tmp_path, separator):
+    from skein.sources import encode_edges, load_edges
+
+    (tmp_path / "in").write_text(separator.join(["src", "dst"]) + "\n" + "\n".join(separator.join(map(str, x)) for x in [(1, 2), (1, 3), (1, 3), (4, 1)]) + "\n\n")
+    encode_edges(spark, str(tmp_path / "in"), str(tmp_path / "out"), separator, skip_header=True)
+    assert sorted(tuple(r) for r in load_edges(spark, str(tmp_path / "out")).collect()) == [(1, 2), (1, 3), (1, 3), (4, 1)]
+    with pytest.raises(Exception, match="no edge"):
+        encode_edges(spark, str(tmp_path / "in"), str(tmp_path / "bad"), separator)
+
+
+def test_first_partition_has_a_value_without_rows(spark):
+    f = input_range(spark, 0, 10).repartition("x", 4)
+    assert sorted(tuple(r) for r in f.fold_partition_from(n=("0L", "count(*)")).df.collect()) == [(0, 3), (1, 3), (2, 2), (3, 2)]
+    assert sorted(tuple(r) for r in f.filter("x = 2").fold_partition_from(n=("0L", "count(*)")).df.collect()) == [(0, 0), (2, 1)]
+
+
+def test_reduce_with(spark):
+    product = lambda a, b: a * b
+    assert input_range(spark, 1, 11).reduce_with("p", "x", product).value()["p"] == 3628800
+    assert input_range(spark, 0, 0).reduce_with("p", "x", product).value() is None
+    got = input_range(spark, 1, 4).apply(lambda f: f.flat_map("sequence(2L, x)", "y").filter("y <= 3").reduce_with("p", "y", product)).df.collect()
+    assert sorted(tuple(r) for r in got if r["x"] > 1) == [(2, 2), (3, 6)]
