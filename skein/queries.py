@@ -555,7 +555,8 @@ def khop_unpacked(t):
     def hop(f):
         return f.lookup(step, "x").key_by(x="y").reduce_by_key(n="sum(n)")
 
-    return Flow(_starts(t)).apply(lambda f: f.map(x="id", n="1L").iterate(3, hop).fold(walks=("0L", "sum(n)")), unique="id")
+    last = graph.count_neighbors(_edges(t)).withColumnRenamed("src", "x")  # the last hop is only counted
+    return Flow(_starts(t)).apply(lambda f: f.map(x="id", n="1L").iterate(2, hop).lookup(last, "x").fold(walks=("0L", "sum(n * degree)")), unique="id")
 
 
 @query(BOTH + "select s_suppkey as id, count(distinct src)::bigint as walks from supplier left join e on src = s_suppkey group by 1")
