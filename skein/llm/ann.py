@@ -1,9 +1,13 @@
 """Approximate nearest neighbours by cosine: a hierarchical k-means tree, searched best bin first.
 
-The tree is fitted on at most about ``sample`` vectors; every vector is put into one of its leaves. A query goes down to the
-nearest child, keeping the siblings in a priority queue, and takes leaves in the order in which the queue yields them. How
-many leaves are visited is calibrated: for about ``probes`` of the queries the true neighbours are found among all vectors, and
-visits widen to the least number of leaves that holds ``recall`` of them.
+The top of the tree is fitted on at most about ``sample`` vectors; every vector is put into one of its cells. A cell of more than
+``piece`` vectors gets a subtree of its own, fitted by one task on at most about ``sample`` vectors of the cell, so that the number
+of leaves grows with the input; a subtree stays with its cell and never comes to the driver. A cell without one is a leaf.
+
+A query goes down to the nearest child, keeping the siblings in a priority queue, and takes leaves in the order in which the
+queue yields them; leaves of subtrees of all visited cells are put into one order by their distance. How many cells and leaves
+are visited is calibrated: for about ``probes`` of the queries the true neighbours are found among all vectors, and visits
+widen to the least numbers that hold ``recall`` of them.
 
 Leaves are cut into pieces of about ``piece`` vectors, and the queries of a leaf into groups of about ``piece``, so a leaf with a
 third of all vectors is many tasks; each piece gives its best ``k``, which are merged. Scores are cosines in double precision,
@@ -17,12 +21,13 @@ Leaves are visited until they hold ``k`` candidates at least, so a query gets al
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.session import checkpoint
@@ -66,11 +71,29 @@ class Tree:
                 self.children.append([])
             leaves += len(parts) - 1
         self.centres = np.array(self.centre, np.float32)
+        self._number()
+
+    def _number(self) -> None:
         self.half = (self.centres * self.centres).sum(1) / 2
-        self.leaf = np.full(len(self.centre), -1)
-        ends = [i for i, c in enumerate(self.children) if not c]
-        self.leaf[ends] = np.arange(len(ends))
-        self.leaves = len(ends)
+        self.leaf = np.full(len(self.children), -1)
+        self.ends = np.array([i for i, c in enumerate(self.children) if not c])
+        self.leaf[self.ends] = np.arange(len(self.ends))
+        self.leaves = len(self.ends)
+
+    def packed(self) -> bytes:
+        return pickle.dumps((self.centres, self.children))
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Tree:
+        tree = cls.__new__(cls)
+        tree.centres, tree.children = pickle.loads(data)
+        tree._number()
+        return tree
+
+    def far(self, q: np.ndarray, leaves: list[int]) -> np.ndarray:
+        """Distances of leaves from a query, but for what is the same for all of them."""
+        at = self.ends[leaves]
+        return (self.half[at] - self.centres[at] @ q).astype(np.float64)
 
     def place(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each vector."""
@@ -145,23 +168,77 @@ def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids:
 
 
 HIT = "query_id long, vec_id long, score double"
+#: A leaf's number is that of its cell times this, and its place in the cell's subtree.
+LEAVES = 1 << 16
+#: Sampled vectors of a subtree's leaf, at least.
+LEAST_LEAF = 8
+#: Vectors or queries of a split cell that one task takes through its subtree.
+CHUNK = 16_384
+#: Leaves of several pieces whose table is broadcast (counted first); more are joined by a merge.
+BROADCAST_LEAVES = 200_000
 
 
 def _assign(tree):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leaf = tree.value.place(_unit(_matrix(batch.column("v")))) if len(batch) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf, pa.int32())], names=[*batch.schema.names, "leaf"])
+            cell = tree.value.place(_unit(_matrix(batch.column("v")))) if len(batch) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32())], names=[*batch.schema.names, "cell"])
 
     return run
 
 
 def _visits(tree, most: int, held: np.ndarray, need: int):
+    """Cells of a query and their distances."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _unit(_matrix(batch.column("v"))) if len(batch) else []
-            leaves = [tree.value.order(q, most, held, need) for q in x]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaves, pa.list_(pa.int32()))], names=[*batch.schema.names, "leaves"])
+            cells = [tree.value.order(q, most, held, need) for q in x]
+            far = [tree.value.far(q, c) for q, c in zip(x, cells, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int32())), pa.array(far, pa.list_(pa.float64()))], names=[*batch.schema.names, "cells", "fars"])
+
+    return run
+
+
+def _fit(branch: int, target: int, most_leaves: int):
+    """A cell's subtree from a sample of its vectors, with leaves of about ``target`` of all its vectors."""
+
+    def run(table: pa.Table) -> pa.Table:
+        x = _unit(_matrix(table.column("v")))
+        rows = table.column("rows")[0].as_py()
+        tree = Tree(x, branch, max(LEAST_LEAF, len(x) * target // rows), most_leaves)
+        return pa.table({"cell": table.column("cell")[:1].cast(pa.int32()), "model": pa.array([tree.packed()], pa.binary())})
+
+    return run
+
+
+def _place(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Vectors of a split cell with the leaf of its subtree."""
+    if not len(left):
+        return pa.table({"vec_id": pa.array([], pa.int64()), "no": pa.array([], pa.int64()), "v": pa.array([], pa.list_(pa.float64())), "leaf": pa.array([], pa.int64())})
+    own = Tree.unpacked(right.column("model")[0].as_py()).place(_unit(_matrix(left.column("v"))))
+    leaf = left.column("cell")[0].as_py() * LEAVES + own.astype(np.int64)
+    return pa.table({"vec_id": left.column("vec_id"), "no": left.column("no"), "v": left.column("v"), "leaf": pa.array(leaf, pa.int64())})
+
+
+def _within(most: int | None):
+    """The first ``most`` leaves (None: all) that hold vectors, of a split cell's subtree for each query."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, leaves, fars = [], [], []
+        if len(left) and len(right):
+            tree = Tree.unpacked(right.column("model")[0].as_py())
+            cell = right.column("cell")[0].as_py()
+            held = np.zeros(tree.leaves, np.int64)
+            held[[x % LEAVES for x in right.column("used")[0].as_py()]] = 1
+            for i, q in zip(left.column("query_id").to_pylist(), _unit(_matrix(left.column("v"))), strict=True):
+                # one vector a leaf is counted: that many leaves with vectors are seen
+                own = [x for x in tree.order(q, 0, held, int(held.sum()) if most is None else min(most, int(held.sum()))) if held[x]]
+                ids.append(np.full(len(own), i, np.int64))
+                leaves.append(cell * LEAVES + np.array(own, np.int64))
+                fars.append(tree.far(q, own))
+        ids, leaves, fars = (np.concatenate(x) if x else np.zeros(0) for x in (ids, leaves, fars))
+        return pa.table({"query_id": pa.array(ids.astype(np.int64)), "leaf": pa.array(leaves.astype(np.int64)), "far": pa.array(fars.astype(np.float64))})
 
     return run
 
@@ -173,7 +250,7 @@ def _brute(probes, k: int):
             if len(batch):
                 a, b, s = best(q, ids, _matrix(batch.column("v")), batch.column("vec_id").to_numpy(), k)
                 leaf = dict(zip(batch.column("vec_id").to_pylist(), batch.column("leaf").to_pylist(), strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s), pa.array([leaf[x] for x in b.tolist()], pa.int32())], names=["query_id", "vec_id", "score", "leaf"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s), pa.array([leaf[x] for x in b.tolist()], pa.int64())], names=["query_id", "vec_id", "score", "leaf"])
 
     return run
 
@@ -197,6 +274,48 @@ def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     return own.where(F.size("v") == (size["n"] if size else 0))
 
 
+def _enough(turns: list[int], share: float, most: int) -> int:
+    """The least number of visits, at most ``most``, that reaches ``share`` of the turns (from 0)."""
+    at = np.sort(turns)
+    return min(most, int(at[min(len(at) - 1, int(np.ceil(share * len(at))))]) + 1) if len(at) else most
+
+
+def _sizes(split: dict[int, int], spark, sample: int) -> DataFrame:
+    """cell, rows, step, chunks of the split cells: no more rows than the top has cells."""
+    rows = [(c, n, -(-n // sample), -(-n // CHUNK)) for c, n in split.items()]
+    return F.broadcast(spark.createDataFrame(rows, "cell int, rows long, step long, chunks int"))
+
+
+def _split(placed: DataFrame, split: dict[int, int], sample: int, branch: int, target: int, most_leaves: int) -> tuple[DataFrame, DataFrame]:
+    """(vec_id, no, v, leaf) of all vectors, and (cell, model, used leaves) of the split cells."""
+    spark = placed.sparkSession
+    sizes = _sizes(split, spark, sample)
+    inside = placed.join(sizes, "cell")
+    models = inside.where(F.pmod(F.xxhash64("no"), "step") == 0).select("cell", "rows", "v").groupBy("cell").applyInArrow(_fit(branch, target, most_leaves), "cell int, model binary")
+    models = checkpoint(models)
+    left = inside.withColumn("chunk", F.pmod(F.xxhash64(F.lit(1), "no"), "chunks").cast("int")).select("cell", "chunk", "vec_id", "no", "v")
+    right = models.join(sizes, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "model")
+    schema = "vec_id long, no long, v array<double>, leaf long"
+    deep = left.groupBy("cell", "chunk").cogroup(right.groupBy("cell", "chunk")).applyInArrow(_place, schema)
+    flat = placed.join(sizes, "cell", "left_anti").select("vec_id", "no", "v", (F.col("cell").cast("long") * LEAVES).alias("leaf"))
+    placed = checkpoint(deep.unionAll(flat))
+    used = placed.select("leaf").distinct().groupBy((F.col("leaf") / LEAVES).cast("int").alias("cell")).agg(F.collect_list("leaf").alias("used"))
+    return placed, checkpoint(models.join(used.hint("merge"), "cell"))
+
+
+def _leaves(cells: DataFrame, models: DataFrame, split: dict[int, int], most: int | None) -> DataFrame:
+    """query_id, leaf, far: the cells of queries that are leaves, and the first ``most`` leaves of those that have a subtree."""
+    spark = cells.sparkSession
+    sizes = _sizes(split, spark, 1)
+    inside = cells.join(sizes, "cell")
+    want = {r["cell"]: r["count"] for r in inside.groupBy("cell").count().collect()}
+    groups = F.broadcast(spark.createDataFrame([(c, -(-n // CHUNK)) for c, n in want.items()], "cell int, groups int"))
+    left = cells.join(groups, "cell").withColumn("g", F.pmod(F.xxhash64("query_id"), "groups").cast("int")).select("cell", "g", "query_id", "v")
+    right = models.join(groups, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), "model", "used")
+    deep = left.groupBy("cell", "g").cogroup(right.groupBy("cell", "g")).applyInArrow(_within(most), "query_id long, leaf long, far double")
+    return cells.join(sizes, "cell", "left_anti").select("query_id", (F.col("cell").cast("long") * LEAVES).alias("leaf"), "far").unionAll(deep)
+
+
 def search(vectors: DataFrame, every: int = 50, k: int = 5, recall: float = 0.97, sample: int = 20_000, branch: int = 8, leaf_rows: int = 64, most_leaves: int = 4096, probes: int = 256, piece: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each row whose vec_id is divisible by ``every``."""
     B.small_batches(vectors)
@@ -205,14 +324,26 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, recall: float = 0.97
     own = usable(vectors)
     rows = own.count()
     step = max(1, -(-rows // sample))
-    some = _matrix(own.where(F.pmod(F.xxhash64("vec_id"), F.lit(step)) == 0).select("v").toArrow().column("v"))
+    # by the number of a row: one vec_id may be on any number of rows
+    numbered = own.withColumn("no", F.monotonically_increasing_id())
+    some = _matrix(numbered.where(F.pmod(F.xxhash64("no"), F.lit(step)) == 0).select("v").toArrow().column("v"))
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not len(some):
         some = _matrix(own.select("v").limit(1).toArrow().column("v"))
         if not len(some):
             return empty
     tree = B.Shared(vectors, Tree(_unit(some), branch, leaf_rows, most_leaves))
-    placed = checkpoint(own.mapInArrow(B.tidy(_assign(tree)), "vec_id long, v array<double>, leaf int"))
+    placed = checkpoint(numbered.mapInArrow(B.tidy(_assign(tree)), "vec_id long, v array<double>, no long, cell int"))
+    # sizes of cells: at most most_leaves rows
+    have = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}
+    held = np.array([have.get(n, 0) for n in range(tree.value.leaves)])
+    split = {c: n for c, n in have.items() if n > piece}
+    models = None
+    if split:
+        placed, models = _split(placed, split, sample, branch, piece // 4, most_leaves)
+    else:
+        placed = placed.select("vec_id", "no", "v", (F.col("cell").cast("long") * LEAVES).alias("leaf"))
+
     queries = own.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
     asked = queries.count()
     if not asked:
@@ -220,21 +351,35 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, recall: float = 0.97
     chosen = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(max(1, asked // probes))) == 0).orderBy(F.xxhash64("query_id")).limit(2 * probes).toArrow()
     chosen = chosen if len(chosen) else queries.limit(1).toArrow()
     q, ids = _matrix(chosen.column("v")), chosen.column("query_id").to_numpy()
-    true = placed.mapInArrow(B.tidy(_brute(sc.broadcast((ids, q)), k)), HIT + ", leaf int")
+    true = placed.mapInArrow(B.tidy(_brute(sc.broadcast((ids, q)), k)), HIT + ", leaf long")
     true = true.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id", "leaf"))), 1, k).alias("top")).collect()
-    turn = {int(i): {leaf: n for n, leaf in enumerate(tree.value.order(x, tree.value.leaves))} for i, x in zip(ids, _unit(q), strict=True)}
-    at = np.sort([turn[r["query_id"]][t["leaf"]] for r in true for t in r["top"]])
-    visits = int(at[min(len(at) - 1, int(np.ceil(recall * len(at))))]) + 1 if len(at) else tree.value.leaves
-
-    # sizes of leaves on either side: at most most_leaves rows
-    have = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}
-    held = np.array([have.get(n, 0) for n in range(tree.value.leaves)])
-    asking = queries.mapInArrow(B.tidy(_visits(tree, visits, held, k + 1)), "query_id long, v array<double>, leaves array<int>").select("query_id", "v", F.explode("leaves").alias("leaf"))
-    want = {r["leaf"]: r["count"] for r in asking.groupBy("leaf").count().collect()}
-    cuts = [(n, max(1, -(-have.get(n, 0) // piece)), max(1, -(-want.get(n, 0) // piece))) for n in range(tree.value.leaves)]
-    cuts = F.broadcast(spark.createDataFrame(cuts, "leaf int, pieces int, groups int"))
-    left = asking.join(cuts, "leaf").withColumn("g", F.pmod(F.xxhash64("query_id"), F.col("groups").cast("long"))).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select("leaf", "g", "p", "query_id", "v")
-    right = placed.join(cuts, "leaf").withColumn("p", F.pmod(F.xxhash64("vec_id"), "pieces").cast("int")).withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups").cast("long") - 1))).select("leaf", "g", "p", "vec_id", "v")
+    true = [(r["query_id"], t["leaf"]) for r in true for t in r["top"]]
+    turn = {int(i): {cell: n for n, cell in enumerate(tree.value.order(x, tree.value.leaves))} for i, x in zip(ids, _unit(q), strict=True)}
+    # each of two steps may lose half of what may be lost
+    visits = _enough([turn[i][leaf // LEAVES] for i, leaf in true], recall if models is None else recall**0.5, tree.value.leaves)
+
+    def cells(of: DataFrame) -> DataFrame:
+        both = of.mapInArrow(B.tidy(_visits(tree, visits, held, k + 1)), "query_id long, v array<double>, cells array<int>, fars array<double>")
+        return both.select("query_id", "v", F.explode(F.arrays_zip("cells", "fars")).alias("c")).select("query_id", "v", F.col("c.cells").alias("cell"), F.col("c.fars").alias("far"))
+
+    if models is None:
+        asking = cells(queries).select("query_id", "v", (F.col("cell").cast("long") * LEAVES).alias("leaf"))
+    else:
+        probing = spark.createDataFrame(chosen.select(["query_id", "v"]))
+        every_leaf = _leaves(cells(probing), models, split, None)
+        order = every_leaf.withColumn("turn", F.row_number().over(Window.partitionBy("query_id").orderBy("far", "leaf")) - 1)
+        wanted = F.broadcast(spark.createDataFrame(sorted(set(true)), "query_id long, leaf long"))  # at most 2 * probes * k rows
+        found = {(r["query_id"], r["leaf"]): r["turn"] for r in order.join(wanted, ["query_id", "leaf"]).collect()}
+        most = max(k + 1, _enough([found.get(t, LEAVES * tree.value.leaves) for t in true], recall, max(found.values(), default=0) + 1))
+        ranked = _leaves(cells(queries), models, split, most).groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("far", "leaf"))), 1, most).alias("top"))
+        asking = ranked.select("query_id", F.explode("top.leaf").alias("leaf")).join(queries.hint("merge"), "query_id")
+
+    size = lambda df, name: df.groupBy("leaf").agg(F.ceil(F.count("*") / piece).cast("int").alias(name))
+    cuts = checkpoint(size(placed, "pieces").join(size(asking, "groups").hint("merge"), "leaf").where("pieces > 1 or groups > 1"))
+    cuts = F.broadcast(cuts) if cuts.count() <= BROADCAST_LEAVES else cuts.hint("merge")
+    cut = lambda df: df.join(cuts, "leaf", "left").withColumns({n: F.coalesce(n, F.lit(1)) for n in ("pieces", "groups")})
+    left = cut(asking).withColumn("g", F.pmod(F.xxhash64("query_id"), "groups").cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select("leaf", "g", "p", "query_id", "v")
+    right = cut(placed).withColumn("p", F.pmod(F.xxhash64("no"), "pieces").cast("int")).withColumn("g", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select("leaf", "g", "p", "vec_id", "v")
     keys = ("leaf", "g", "p")
     hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_piece(k), HIT)
     # each piece's best are few; they are summed up before the final order
