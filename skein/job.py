@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, SparkSession
 
 from skein.operators.flow import Flow, Single
@@ -27,6 +28,18 @@ class JobConf:
         if self.batch_size:
             spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", self.batch_size)
 
+    def in_tasks(self, spark: SparkSession, name: str, most_bytes: int = 64 << 20):
+        """A resource for functions that run in tasks, as ``.value``: each executor gets one copy of it, not to be changed.
+
+        It must be a value of at most ``most_bytes`` when pickled; larger ones are tables, to be joined.
+        """
+        value = self.resources[name]
+        if isinstance(value, (DataFrame, Flow, Single)):
+            raise TypeError(f"{name} is a table: join it")
+        if (size := len(cloudpickle.dumps(value))) > most_bytes:
+            raise ValueError(f"{name} takes {size} bytes, over {most_bytes}: make it a table and join it")
+        return spark.sparkContext.broadcast(value)
+
 
 class ResultStream:
     """Rows as they arrive. A failure is raised once, or given to ``on_error``; after it, or after ``cancel``, the stream stays ended."""

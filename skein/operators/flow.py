@@ -39,6 +39,8 @@ class Flow:
     df: DataFrame
     scope: str | None = None
     key: tuple[str, ...] = ()
+    #: How many subtasks and loops this flow is inside of.
+    level: int = 0
 
     # -- shape -----------------------------------------------------------------------------------------------
 
@@ -87,6 +89,57 @@ class Flow:
 
     unary = map_arrow
 
+    def stateful(self, make: Callable, schema: str) -> Flow:
+        """An operator with state of its own for each scope; at the top for each partition.
+
+        ``make()`` gives an object with ``on_batch(batch)`` and ``on_end()``, which give Arrow batches of ``schema``; the latter
+        when the scope's rows are over. If it has ``on_cancel()``, that is called when no more rows are wanted before the end (a worker that is
+        killed has no time for it).
+        Batches have no scope column. A scope's rows are in one task, one after the other, but never in memory as a whole; a scope
+        without rows has no operator.
+        """
+        scope = self.scope
+
+        def run(batches):
+            import pyarrow as pa
+
+            def out(of, mark):
+                for b in of or ():
+                    yield b if scope is None else pa.RecordBatch.from_arrays([*b.columns, pa.repeat(mark, len(b))], names=[*b.schema.names, scope])
+
+            def runs():
+                """Mark and rows of each run of one scope in each batch."""
+                for batch in batches:
+                    if scope is None:
+                        yield None, batch
+                        continue
+                    marks, rest = batch.column(scope), batch.drop_columns([scope])
+                    codes = marks.dictionary_encode().indices.to_numpy()
+                    cuts = [0, *((codes[1:] != codes[:-1]).nonzero()[0] + 1), len(batch)] if len(batch) else []
+                    for i, j in zip(cuts, cuts[1:]):
+                        yield marks[i], rest.slice(i, j - i)
+
+            # at the top a partition has its operator, with rows or without
+            now, mark, done = make() if scope is None else None, None, False
+            try:
+                for m, rows in runs():
+                    if scope is not None and (now is None or m != mark):
+                        if now is not None:
+                            yield from out(now.on_end(), mark)
+                        now, mark = make(), m
+                    yield from out(now.on_batch(rows), mark)
+                if now is not None:
+                    yield from out(now.on_end(), mark)
+                done = True
+            finally:
+                if not done and now is not None and hasattr(now, "on_cancel"):
+                    now.on_cancel()
+
+        if scope is None:
+            return self._with(self.df.mapInArrow(run, schema), key=())
+        kind = self.df.schema[scope].dataType.simpleString()
+        return self._with(self.df.repartition(scope).sortWithinPartitions(scope).mapInArrow(run, f"{schema}, `{scope}` {kind}"), key=())
+
     def lookup(self, table: DataFrame, on: str | list[str], how: str = "inner") -> Flow:
         """Each row with the matching rows of a table that belongs to no scope, such as a graph's edges."""
         return self._with(self.df.join(table, on, how).select(*self.df.columns, *(c for c in table.columns if c not in self.df.columns)))
@@ -236,13 +289,13 @@ class Flow:
 
     def _single(self, aggs: dict[str, Column], empty: dict[str, Column] | None) -> Single:
         if self.scope:
-            return Single(self.df.groupBy(self.scope).agg(*(a.alias(n) for n, a in aggs.items())), self.scope, empty)
+            return Single(self.df.groupBy(self.scope).agg(*(a.alias(n) for n, a in aggs.items())), self.scope, empty, self.level)
         df = self.df.agg(*(a.alias(n) for n, a in aggs.items()), F.count("*").alias("_rows"))
         if empty is None:
             df = df.where("_rows > 0")
         else:
             df = df.withColumns({n: F.coalesce(n, e) for n, e in empty.items()})
-        return Single(df.drop("_rows"), None, empty)
+        return Single(df.drop("_rows"), None, empty, self.level)
 
     def count(self, name: str = "count") -> Single:
         return self._single({name: F.count("*")}, {name: F.lit(0).cast("long")})
@@ -347,7 +400,7 @@ class Flow:
         else:
             outer = checkpoint(self.df.withColumn(scope, F.monotonically_increasing_id()))
         inner = outer.drop(self.scope) if self.scope else outer
-        out = body(Flow(inner, scope))
+        out = body(Flow(inner, scope, level=self.level + 1))
         if not isinstance(out, Single):
             raise TypeError("the body of apply must end in at most one value for each row (a Single)")
         if out.scope != scope:
@@ -367,7 +420,7 @@ class Flow:
         """A subtask for each key, over the rows that have it: key columns and value. Null is a key."""
         scope = f"_s{next(_fresh)}"
         tagged = self.df.withColumn(scope, F.struct(*self._scopes, *self.key))
-        out = body(Flow(tagged.drop(*self._scopes), scope))
+        out = body(Flow(tagged.drop(*self._scopes), scope, level=self.level + 1))
         if not isinstance(out, Single) or out.scope != scope:
             raise TypeError("the body of segment_apply must end in a Single of its scope")
         keys = tagged.select(scope).distinct()
@@ -419,6 +472,7 @@ class Single:
     df: DataFrame
     scope: str | None = None
     empty: dict[str, Column] | None = field(default=None)
+    level: int = 0
 
     @property
     def columns(self) -> list[str]:
@@ -435,15 +489,15 @@ class Single:
             values = base.select(*(col(e).alias(n) for n, e in exprs.items())).first()
             empty = {n: F.lit(values[n]).cast(row[n].dataType) for n in exprs}
         scopes = [self.scope] if self.scope else []
-        return Single(self.df.select(*scopes, *(col(e).alias(n) for n, e in exprs.items())), self.scope, empty)
+        return Single(self.df.select(*scopes, *(col(e).alias(n) for n, e in exprs.items())), self.scope, empty, self.level)
 
     def unfold(self, array: Expr, name: str) -> Flow:
         """A row for each element of an array expression."""
         scopes = [self.scope] if self.scope else []
-        return Flow(self.df.select(*scopes, F.explode(col(array)).alias(name)), self.scope)
+        return Flow(self.df.select(*scopes, F.explode(col(array)).alias(name)), self.scope, level=self.level)
 
     def into_flow(self) -> Flow:
-        return Flow(self.df, self.scope)
+        return Flow(self.df, self.scope, level=self.level)
 
     def value(self):
         """The value on the driver: a Row, or None."""

@@ -51,9 +51,12 @@ def run_loop(seed: Flow, condition: IterCondition, kind: EmitKind, body: Callabl
             return flow
         done = F.coalesce(col(condition.until), F.lit(False))
         left.append(Flow(flow.df.where(done), flow.scope))
-        return Flow(flow.df.where(~done), flow.scope)
+        return inside(flow.df.where(~done))
 
-    stay = split(Flow(seed.df, seed.scope))
+    def inside(df) -> Flow:
+        return Flow(df, seed.scope, level=seed.level + 1)
+
+    stay = split(inside(seed.df))
     if kind is EmitKind.BEFORE:
         left.append(stay)
     n = 0
@@ -65,11 +68,11 @@ def run_loop(seed: Flow, condition: IterCondition, kind: EmitKind, body: Callabl
             break
         cut = n % every == 0
         if cut:
-            out = Flow(checkpoint(out.df), out.scope)
+            out = inside(checkpoint(out.df))
         stay = split(out)
         if kind is not EmitKind.LAST:
             left.append(stay)
         if cut and stay.df.isEmpty():
             break
     names = seed.df.columns if set(left[-1].df.columns) == set(seed.df.columns) else left[-1].df.columns
-    return Flow(reduce(lambda a, b: a.unionAll(b), (f.df.select(*names) for f in left)), seed.scope, seed.key)
+    return Flow(reduce(lambda a, b: a.unionAll(b), (f.df.select(*names) for f in left)), seed.scope, seed.key, seed.level)

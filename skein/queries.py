@@ -15,7 +15,7 @@ from skein.operators.flow import Flow
 from skein.plans import algorithms
 from skein.plans.loops import EmitKind, IterCondition
 from skein.session import ensure_checkpoint_dir
-from skein.sources import delimited, encode_edges, input_from, input_range, load_edges, partition_edges, properties, text_lines, worker_index
+from skein.sources import delimited, encode_edges, input_from, input_range, load_edges, own_source, partition_edges, properties, text_lines, worker_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -187,6 +187,61 @@ def fold_partition_empty(t):
     return t.orders.filter("o_totalprice < 0").map(o_custkey="o_custkey").repartition("o_custkey", 4).fold_partition_from(n=("0L", "sum(o_custkey)"))
 
 
+def _tally() -> type:
+    """A class that goes to the tasks with its code."""
+
+    class Tally:
+        """Passes rows on, and gives their number at the end."""
+
+        def __init__(self) -> None:
+            self.n = 0
+
+        def on_batch(self, batch):
+            self.n += len(batch)
+            yield batch
+
+        def on_end(self):
+            import pyarrow as pa
+
+            yield pa.RecordBatch.from_pydict({"y": [-self.n]}, pa.schema([("y", pa.int64())]))
+
+    return Tally
+
+
+@query("select n_nationkey as x, ((n_nationkey + 1) * (n_nationkey + 2) // 2)::bigint as s, -(n_nationkey + 1)::bigint as last, (n_nationkey + 2)::bigint as n from nation")
+def stateful_scope(t):
+    """An operator with state for each subtask; the number of its rows comes when they are over."""
+    body = lambda f: f.flat_map("sequence(1L, x + 1L)", "y").stateful(_tally(), "y long").reduce(s="sum(case when y > 0 then y end)", last="min(y)", n="count(*)")
+    return t.nation.map(x="n_nationkey").apply(body, unique="x")
+
+
+@query("select -count(*) as y from orders group by o_custkey % 4")
+def stateful_partition(t):
+    """The same with state for each of four workers."""
+    return t.orders.map(y="o_custkey").repartition("y", 4).stateful(_tally(), "y long").filter("y < 0")
+
+
+@query("select n_nationkey as x, 1 as a, 2 as b, 3 as c, 0 as d from nation")
+def scope_levels(t):
+    """How deep subtasks and loops are nested, asked from inside."""
+    seen: list[int] = []
+
+    def inner(g):
+        seen.append(g.level)
+        return g.count("inner")
+
+    def loop(f):
+        seen.append(f.level)
+        return f.apply(inner, unique="x").map(x="x")
+
+    def body(f):
+        seen.append(f.level)
+        return f.iterate(1, loop).count("n")
+
+    out = t.nation.map(x="n_nationkey").apply(body, unique="x")
+    return out.map(x="x", a=F.lit(seen[0]), b=F.lit(seen[1]), c=F.lit(seen[2]), d=F.lit(out.level))
+
+
 # -- aggregates ----------------------------------------------------------------------------------------------
 
 
@@ -770,4 +825,30 @@ def source_replicas(t):
     return input_from(t.spark, [r["x"] for r in t.nation.map(x="n_nationkey").df.collect()], "x int", replicas=2)
 
 
+@query("select x, (x * x)::bigint as y from range(0, 1000) r(x)")
+def source_of_own(t):
+    """A source that a program brings along, read in four tasks."""
+    return own_source(t.spark, "squares", "x long, y long", [(k * 250, k * 250 + 250) for k in range(4)], lambda part: ((x, x * x) for x in range(*part)))
+
+
+@query("select c_custkey as id, 'segment ' || lower(c_mktsegment) as segment from customer")
+def resource_in_tasks(t):
+    """A value of the job's, looked up by a function that runs in tasks."""
+    names = {r["c_mktsegment"]: f"segment {r['c_mktsegment'].lower()}" for r in t.customer.map(c_mktsegment="c_mktsegment").dedup().df.collect()}
+    conf = job.JobConf(resources={"names": names})
+
+    def program(spark, conf):
+        table = conf.in_tasks(spark, "names")
+
+        def rename(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([table.value[x] for x in b.column(1).to_pylist()], pa.string())], names=["id", "segment"])
+
+        return t.customer.map(id="c_custkey", c_mktsegment="c_mktsegment").map_arrow(rename, "id long, segment string")
+
+    return program(t.spark, conf)
+
+
 entry = partial(QUERIES["word_count"])

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from skein.operators.flow import Flow
 
@@ -23,6 +24,37 @@ def input_range(spark: SparkSession, start: int, end: int, name: str = "x", repl
     return Flow(df if replicas == 1 else df.select(F.explode(F.array_repeat(name, replicas)).alias(name)))
 
 
+def own_source(spark: SparkSession, name: str, schema: str, parts: Sequence, rows: Callable[[object], Iterable[tuple]]) -> Flow:
+    """A source of one's own: ``rows(part)`` is run in a task for each of ``parts`` and gives tuples of ``schema``.
+
+    It is registered as data source ``name``, so ``spark.read.format(name).load()`` and SQL have it, too. A part must give
+    the same rows whenever it is read: a lost task reads it again.
+    """
+
+    class Reader(DataSourceReader):
+        def partitions(self) -> list[InputPartition]:
+            return [InputPartition(p) for p in parts]
+
+        def read(self, partition: InputPartition) -> Iterator[tuple]:
+            yield from rows(partition.value)
+
+    class Source(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return name
+
+        def schema(self) -> str:
+            return schema
+
+        def reader(self, schema) -> DataSourceReader:
+            return Reader()
+
+    if not parts:
+        return Flow(spark.createDataFrame([], schema))
+    spark.dataSource.register(Source)
+    return Flow(spark.read.format(name).load())
+
+
 def worker_index() -> Column:
     """The number of the partition that a row is in."""
     return F.spark_partition_id()

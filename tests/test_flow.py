@@ -1,6 +1,7 @@
 """Operators on small fixed inputs."""
 
 import itertools
+import time
 
 import pyarrow as pa
 import pytest
@@ -308,9 +309,9 @@ def test_sinks_and_jobs(spark):
     def up_to(session, conf, n):
         return input_range(session, 0, n * conf.resources["times"])
 
-    out = registry.submit(spark, "up_to", job.JobConf(resources={"times": 2}), n=3)
+    out = registry.submit(spark, "up_to", job.job.JobConf(resources={"times": 2}), n=3)
     assert sorted(r[0] for r in out) == list(range(6)) and out.try_next() is None
-    stopped = registry.submit(spark, "up_to", job.JobConf(resources={"times": 2}), n=3)
+    stopped = registry.submit(spark, "up_to", job.job.JobConf(resources={"times": 2}), n=3)
     stopped.cancel()
     assert list(stopped) == []
     failing = job.run(spark, lambda s, c: input_range(s, 0, 3).map(x="raise_error('no')"))
@@ -361,3 +362,56 @@ def test_reduce_with(spark):
     assert input_range(spark, 0, 0).reduce_with("p", "x", product).value() is None
     got = input_range(spark, 1, 4).apply(lambda f: f.flat_map("sequence(2L, x)", "y").filter("y <= 3").reduce_with("p", "y", product)).df.collect()
     assert sorted(tuple(r) for r in got if r["x"] > 1) == [(2, 2), (3, 6)]
+
+
+def test_stateful_cancel_and_scopes_over_batches(spark, tmp_path):
+    """Scopes that go over several batches have one operator each; on_cancel is called if a limit is met before the end."""
+    folder = str(tmp_path)
+
+    def make():
+        import os
+        import uuid
+
+        class Log:
+            def __init__(self):
+                self.n = 0
+
+            def mark(self, what):
+                with open(os.path.join(folder, f"{what}-{uuid.uuid4().hex}"), "w") as f:
+                    f.write(str(self.n))
+
+            def on_batch(self, batch):
+                self.n += len(batch)
+                yield batch
+
+            def on_end(self):
+                self.mark("end")
+
+            def on_cancel(self):
+                self.mark("cancel")
+
+        return Log()
+
+    kinds = lambda: sorted(f.name.split("-")[0] + f.read_text() for f in tmp_path.iterdir())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        own = Flow(spark.createDataFrame([(1,), (2,), (0,)], "x int"))
+        rows = own.apply(lambda f: f.flat_map("filter(sequence(1, x * 25), y -> y > 0 and x > 0)", "y").stateful(make, "y int").count("n"), unique="x").df.collect()
+        assert sorted(map(tuple, rows)) == [(0, 0), (1, 25), (2, 50)]
+        assert kinds() == ["end25", "end50"]
+        assert len(Flow(spark.range(0, 3_000_000, 1, 1)).stateful(make, "id long").limit(5).df.collect()) == 5
+        deadline = time.time() + 20
+        while len(kinds()) < 3 and time.time() < deadline:
+            time.sleep(0.2)
+        assert kinds()[0].startswith("cancel") and len(kinds()) == 3
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_resources_for_tasks(spark):
+    conf = job.JobConf(resources={"big": "x" * 100, "table": spark.range(1)})
+    assert conf.in_tasks(spark, "big").value == "x" * 100
+    with pytest.raises(ValueError):
+        conf.in_tasks(spark, "big", most_bytes=50)
+    with pytest.raises(TypeError):
+        conf.in_tasks(spark, "table")
