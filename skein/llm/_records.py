@@ -12,6 +12,8 @@ from ._bytes import small_batches
 #: Bits of the table of documents; its size is fixed, so it can be sent to every task.
 SLOTS = 1 << 23
 LEAST = -(1 << 63)
+#: Tasks that may share the rows of one key in a join.
+SALTS = 64
 
 
 class Records:
@@ -90,6 +92,18 @@ def slot(did: Column, th: Column) -> Column:
     return F.pmod(F.xxhash64(did, th), F.lit(SLOTS))
 
 
+def salted(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` with ``salt``: rows of one key are told apart by these columns, so that a key with a third of them is many tasks'."""
+    return df.withColumn("salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int"))
+
+
+def join_spread(rows: DataFrame, table: DataFrame, on: list[str], by: list[str]) -> DataFrame:
+    """``rows`` joined with ``table``, which has a row a key: that row is dealt out to the salts of its rows first."""
+    own = salted(rows, *by)
+    wanted = own.select(*on, "salt").distinct().join(table.hint("merge"), on)
+    return own.join(wanted.hint("merge"), [*on, "salt"]).drop("salt")
+
+
 def bitmap(rows: DataFrame) -> np.ndarray:
     """For each slot whether a row (did, th) may have it. The bits come to the driver, SLOTS / 8 bytes whatever the input."""
     s = slot(F.col("did"), F.col("th"))

@@ -353,7 +353,8 @@ def drop_lines(docs: DataFrame, text: str = "text", part_bytes: int = 12 << 20)
     where = lambda d, t, k: F.struct(F.col(d), F.col(t), F.col(k))
     lines = found.where(F.col("kind") == LINES).groupBy("did", "th", "line").agg(F.first("text").alias("text"))
     claims = found.where(F.col("kind") == CLAIMS).select("did", "th", "line", "edid", "eth", "eline").distinct()
-    both = claims.join(lines.withColumnRenamed("text", "a"), ["did", "th", "line"]).join(lines.toDF("edid", "eth", "eline", "b"), ["edid", "eth", "eline"])
+    # very many lines may claim one earlier line
+    both = R.join_spread(claims.join(lines.withColumnRenamed("text", "a"), ["did", "th", "line"]), lines.toDF("edid", "eth", "eline", "b"), ["edid", "eth", "eline"], ["did", "th", "line"])
     near = both.select("did", "th", "line", "a", "b").mapInArrow(B.tidy(_verify), ROWS)
 
     dropped = checkpoint(lists(first.where(F.col("kind") == DROPPED).unionAll(near), DROPPED))
