@@ -306,10 +306,14 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     # a number for each text, fixed by the checkpoint
     nodes = signed.where("some").groupBy("a", "b").agg(F.min("did").alias("did"), F.min_by("th", "did").alias("th"), F.count("*").alias("rows"), *(F.any_value(k).alias(k) for k in KEYS))
     nodes = checkpoint(nodes.withColumn("node", F.monotonically_increasing_id()))
-    members = nodes.select("node", F.explode(F.array(*KEYS)).alias("key"))
+    # a bucket or class may have a third of all nodes: sums go by salts first, and come back to the salts
+    members = R.salted(nodes.select("node", F.explode(F.array(*KEYS)).alias("key")), "node")
     # a leader for each bucket, chosen by a hash that differs between bands
-    buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", "key")).alias("lead")).where("n > 1")
-    shared = checkpoint(members.join(buckets.hint("merge"), "key"))
+    h = F.xxhash64("node", "key")
+    some = members.groupBy("key", "salt").agg(F.count("*").alias("n"), F.min_by("node", h).alias("lead"), F.min(h).alias("h"))
+    buckets = some.groupBy("key").agg(F.sum("n").alias("n"), F.min_by("lead", "h").alias("lead")).where("n > 1")
+    buckets = some.select("key", "salt").join(buckets.hint("merge"), "key")
+    shared = checkpoint(members.join(buckets.hint("merge"), ["key", "salt"]))
     few = shared.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("all"))
     few = few.select(F.explode(F.flatten(F.transform("all", lambda x, i: F.transform(F.slice("all", i + 2, SMALL), lambda y: F.struct(x.alias("u"), y.alias("v")))))).alias("p")).select("p.u", "p.v")
     star = shared.where((F.col("n") > SMALL) & (F.col("node") != F.col("lead"))).select(F.least("node", "lead").alias("u"), F.greatest("node", "lead").alias("v"))
@@ -328,9 +332,10 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def apart() -> DataFrame:
         """key, n, node, root of large buckets that are in several parts."""
-        rest = shared.where(F.col("n") > SMALL).select("key", "n", "node").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        parts = rest.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("key")
-        return rest.join(parts.hint("merge"), "key")
+        rest = shared.where(F.col("n") > SMALL).select("key", "salt", "n", "node").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        some = rest.groupBy("key", "salt").agg(F.min("root").alias("r1"), F.max("root").alias("r2"))
+        parts = some.groupBy("key").agg(F.min("r1").alias("r1"), F.max("r2").alias("r2")).where("r1 != r2").select("key")
+        return rest.join(some.select("key", "salt").join(parts.hint("merge"), "key").hint("merge"), ["key", "salt"])
 
     for turn in range(DEALS):
         block = F.pmod(F.xxhash64("node", "key", F.lit(turn)), F.ceil(F.col("n") / SMALL))
@@ -349,11 +354,14 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
             roots = connected_components(found.unionAll(more), "u", "v")
 
     placed = nodes.select("a", "b", "node", "did", "th", "rows").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    heads = placed.groupBy("root").agg(F.min(F.struct("did", "th")).alias("head"), F.sum("rows").alias("class_size"))
-    placed = placed.join(heads.hint("merge"), "root").select("a", "b", "head", "class_size")
+    placed = R.salted(placed, "node")
+    some = placed.groupBy("root", "salt").agg(F.min(F.struct("did", "th")).alias("head"), F.sum("rows").alias("class_size"))
+    heads = some.groupBy("root").agg(F.min("head").alias("head"), F.sum("class_size").alias("class_size"))
+    heads = some.select("root", "salt").join(heads.hint("merge"), "root")
+    placed = placed.join(heads.hint("merge"), ["root", "salt"]).select("a", "b", "head", "class_size")
     each = signed.groupBy("did", "th").agg(*(F.any_value(c).alias(c) for c in ("doc_id", "some", "a", "b")), F.count("*").alias("copies"))
     first = (F.col("head.did") == F.col("did")) & (F.col("head.th") == F.col("th"))
-    classed = each.where("some").join(placed.hint("merge"), ["a", "b"]).select("did", "th", "doc_id", F.when(F.col("head.did") != R.LEAST, F.col("head.did")).alias("class_id"), "class_size", first.alias("kept"), "copies")
+    classed = R.join_spread(each.where("some"), placed, ["a", "b"], ["did", "th"]).select("did", "th", "doc_id", F.when(F.col("head.did") != R.LEAST, F.col("head.did")).alias("class_id"), "class_size", first.alias("kept"), "copies")
     alone = each.where("not some").select("did", "th", "doc_id", F.col("doc_id").alias("class_id"), F.col("copies").alias("class_size"), F.lit(True).alias("kept"), "copies")
     return classed.unionAll(alone)
 
